@@ -5,10 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emendata.llm import mixing, packing
+from emendata.llm import lines, mixing, neardup, packing, quality
 from emendata.llm.common import stored, table
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking predicts good."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated runs of lines; what is empty then goes."""
+    return lines.deduped_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask for."""
     return mixing.mixed_documents(docs)
@@ -19,9 +34,15 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Tokenisation has no SQL form.
+#: The learnt scores, the seeded order and tokenisation have no SQL form.
 ORACLE_SQL = None
 
 

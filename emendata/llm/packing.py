@@ -7,6 +7,7 @@ where a window of the global stream ends. A document cut at a window leaves boun
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -20,40 +21,72 @@ from pyspark.sql import types as T
 from emendata.llm.common import stored
 from emendata.llm.tokens import slices
 
-REMEMBERED = 400_000
-#: Parts into which words are joined for one call of the tokenizer.
-JOINED = 4_000
+#: Distinct words remembered by one worker before it starts over; bounds memory, never results.
+REMEMBERED = 1_000_000
+#: Words that are joined for one call of the tokenizer.
+JOINED = 2_000
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space, word by word, each distinct word encoded once."""
+    """Ids of texts by a tokenizer that drops white space, word by word, each distinct word encoded once.
+
+    Words of Latin letters are lower-cased here and encoded without the tokenizer's normaliser, which would leave
+    them as they are; all others go through it.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # A pair of control characters as a separate word; texts that hold them are encoded whole.
+        self.lean = Tokenizer.from_str(json.dumps(json.loads(vocabulary) | {"normalizer": None}))
+        # A control character as a separate word; texts that hold one are encoded whole.
         self.mark = "\x01"
         self.mark_ids = self.ids(self.mark)
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {"": 0}
+        self.begins, self.lengths, self.store = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, unseen: list[str]) -> None:
-        for at in range(0, len(unseen), JOINED):
-            part = unseen[at : at + JOINED]
-            ids = np.array(self.ids(f" {self.mark} ".join(part)), np.uint32)
-            ends = np.flatnonzero(ids == self.mark_ids[0])
-            if len(self.mark_ids) == 1 and len(ends) == len(part) - 1:
-                for word, x in zip(part, np.split(ids, ends), strict=True):
-                    self.known[word] = x
-                for word in part[1:]:
-                    self.known[word] = self.known[word][1:]
+    def learn(self, unseen: list[str], tokenizer) -> None:
+        """Append the ids of new words to the store; their places follow those known."""
+        stores, begins, lengths, at = [self.store], [self.begins], [self.lengths], len(self.store)
+        for low in range(0, len(unseen), JOINED):
+            part = unseen[low : low + JOINED]
+            ids = np.array(tokenizer.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark_ids[0])
+            if len(self.mark_ids) != 1 or len(marks) != len(part) - 1:
+                each = [self.ids(word) for word in part]
+                ids = np.array([x for word in each for x in word], np.uint32)
+                length = np.fromiter(map(len, each), np.int64, len(each))
+                begin = np.cumsum(length) - length
             else:
-                for word in part:
-                    self.known[word] = np.array(self.ids(word), np.uint32)
+                begin = np.concatenate([[0], marks + 1])
+                length = np.concatenate([marks, [len(ids)]]) - begin
+            stores.append(ids)
+            begins.append(at + begin)
+            lengths.append(length)
+            at += len(ids)
+        for word in unseen:
+            self.places[word] = len(self.places)
+        self.store, self.begins, self.lengths = np.concatenate(stores), np.concatenate(begins), np.concatenate(lengths)
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """The place of each word in the store."""
+        keys = [w.lower() if w.isascii() or (max(w) < "\u0250" and "\u0130" not in w) else w for w in words]
+        unseen = list(dict.fromkeys(k for k in keys if k not in self.places))
+        if len(self.places) + len(unseen) > REMEMBERED:
+            self.forget()
+            unseen = list(dict.fromkeys(k for k in keys if k))
+        plain = [k for k in unseen if k.isascii() or max(k) < "\u0250"]
+        self.learn(plain, self.lean)
+        if len(plain) < len(unseen):
+            self.learn([k for k in unseen if not (k.isascii() or max(k) < "\u0250")], self.tokenizer)
+        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has; null counts as empty."""
@@ -61,25 +94,15 @@ class Encoder:
         # Characters that Python and the tokenizer do not both take as white space, marks, and special strings.
         odd = pc.match_substring_regex(texts, "[\\x00-\\x08\\x0e-\\x1f]|" + "|".join(_quoted(s) for s in self.special or ["\x01"]))
         odd = odd.to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
         split = pc.utf8_split_whitespace(plain)
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        unseen = [w for w in words if w and w not in self.known]
-        if len(self.known) + len(unseen) > REMEMBERED:
-            self.known.clear()
-            unseen = [w for w in words if w]
-        self.known[""] = np.empty(0, np.uint32)
-        self.learn(unseen)
-        each = [self.known[w] for w in words]
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        store = np.concatenate(each) if each else np.empty(0, np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        per_word = lengths[codes]
+        places = self.known(coded.dictionary.to_pylist())
+        places = places[coded.indices.to_numpy(zero_copy_only=False)]
+        per_word = self.lengths[places]
         total = int(per_word.sum())
         out_at = np.cumsum(per_word) - per_word
-        ids = store[np.repeat(begins[codes] - out_at, per_word) + np.arange(total)] if total else np.empty(0, np.uint32)
+        ids = self.store[np.repeat(self.begins[places] - out_at, per_word) + np.arange(total)] if total else np.empty(0, np.uint32)
         offsets = split.offsets.to_numpy()
         offsets = offsets - offsets[0]
         running = np.concatenate([[0], np.cumsum(per_word)])
