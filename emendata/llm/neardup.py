@@ -108,20 +108,47 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     left = once.join(shared, F.col("g") == F.col("_g")).groupBy("node").agg(F.collect_set("g").alias("gs"))
     wide = left.join(nodes.select("node", "n", "second"), "node")
     wide = wide.select("node", "n", F.explode("gs").alias("g"), "second").select("node", "n", "g", F.posexplode("second").alias("j", "h"))
-    keyed = wide.select(F.xxhash64("g", "j", "h").alias("key"), "node", "n")
-    keyed = durable(keyed)
-    common = durable(keyed.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("c")).filter("c > 1").select("_key"))
-    return durable(keyed.join(common, F.col("key") == F.col("_key")).drop("_key"))
+    keyed = durable(wide.select(F.xxhash64("g", "j", "h").alias("key"), "node", "n"))
+    # Buckets of the same members say the same: one of them stays.
+    sums = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    common = keyed.groupBy("key").agg(F.count("*").alias("c"), *sums).filter("c > 1")
+    common = durable(common.groupBy("c", "s1", "s2").agg(F.min("key").alias("_key")).select("_key", "c"))
+    members = durable(keyed.join(common, F.col("key") == F.col("_key")).drop("_key"))
+    # A node in many and large buckets stands in the middle of its likes, and makes the best hub.
+    weights = durable(members.groupBy(F.col("node").alias("_node")).agg((-F.sum("c")).alias("w")))
+    return durable(members.join(weights, F.col("node") == F.col("_node")).select("key", "node", "n", "w"))
+
+
+def hubs(members: DataFrame, first: int, many: int) -> DataFrame:
+    """Of every bucket the members of rank ``first`` + 1 to ``first`` + ``many`` by weight, taken from salted parts first."""
+    out = [F.col("key").alias("_key"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("low").alias("hub_low"), F.col("high").alias("hub_high")]
+    if (first, many) == (0, 1):
+        best = members.groupBy("key").agg(F.min(F.struct("w", "node", "n", "root", "low", "high")).alias("m"))
+        return durable(best.select("key", "m.*").select(*out))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    part = Window.partitionBy("key", salt).orderBy("w", "node")
+    some = members.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= first + many)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("w", "node"))
+    return durable(some.withColumn("_r", rank).filter((F.col("_r") > first) & (F.col("_r") <= first + many)).select(*out))
 
 
-def hubs(members: DataFrame, many: int) -> DataFrame:
-    """The ``many`` smallest nodes of every bucket, taken from salted parts first: _key, hub, hub_n, rank."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
-    part = Window.partitionBy("key", salt).orderBy("node")
-    some = members.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= many).drop("_r")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    some = some.withColumn("rank", rank).filter(F.col("rank") <= many)
-    return durable(some.select(F.col("key").alias("_key"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), "rank"))
+def may_link(percent: int) -> Column:
+    """Whether bounds on the distances to the bucket's first hub leave room for a link: distances differ by its length at most."""
+    reach = 1 - percent / 100 + 1e-9
+    return (F.col("low") - F.col("hub_high") <= reach) & (F.col("hub_low") - F.col("high") <= reach)
+
+
+def measured(members: DataFrame, top: DataFrame, done: DataFrame) -> DataFrame:
+    """Members with low and high bounds of their distance to the bucket's hub: exact where the pair was compared."""
+    both = members.join(top.select("_key", "hub", "hub_n"), F.col("key") == F.col("_key"))
+    both = both.withColumn("_a", F.least("node", "hub")).withColumn("_b", F.greatest("node", "hub"))
+    found = both.join(done.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "common"), ["_a", "_b"], "left")
+    exact = 1 - F.col("common") / (F.col("n") + F.col("hub_n") - F.col("common"))
+    least = 1 - F.least("n", "hub_n") / F.greatest("n", "hub_n")
+    own = F.col("node") == F.col("hub")
+    low = F.when(own, 0.0).otherwise(F.coalesce(exact, least))
+    high = F.when(own, 0.0).otherwise(F.coalesce(exact, F.lit(1.0)))
+    return durable(found.select("key", "node", "n", "w", low.alias("low"), high.alias("high")))
 
 
 def size_fits(a: str, b: str, percent: int) -> Column:
@@ -192,47 +219,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their root, a node without links being its own."""
-    own = roots.select(F.col("node").alias("_node"), "root")
-    return members.join(own, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return members.join(own, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
 
 
-def mixed_buckets(rooted: DataFrame) -> DataFrame:
-    """The members of buckets in which more than one component meets."""
-    spread = rooted.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    spread = durable(spread.filter("_low <> _high").select("_key"))
+def mixed_buckets(rooted: DataFrame, hubs_done: int) -> DataFrame:
+    """The members of buckets in which more than one component meets and not all but one member have been hubs."""
+    spread = rooted.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_c"))
+    spread = durable(spread.filter((F.col("_low") != F.col("_high")) & (F.col("_c") > hubs_done + 1)).select("_key"))
     return durable(rooted.join(spread, F.col("key") == F.col("_key")).drop("_key"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links between nodes (a, b) and the components they make (node, root)."""
+def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """node and root for all nodes that are linked: components of verified links.
+
+    Every pair of a bucket is compared, unless both are in one component by then, their sizes or their distances to
+    the bucket's hub rule a link out, or another bucket had the pair. Hubs are taken in rounds, four times as many in
+    each, until no bucket has a pair left.
+    """
     members = bucket_members(nodes)
     in_buckets = members.select("node").distinct()
     wanted = nodes.join(in_buckets, "node", "left_semi").select("node", F.col("_row").alias("_wanted"))
     sets = set_table(docs, durable(wanted), shingle)
+    open_ = members.withColumn("root", F.col("node")).withColumn("low", F.lit(0.0)).withColumn("high", F.lit(1.0))
     done, many, first = None, 1, 0
-    open_ = members.select("key", "node", "n", F.col("node").alias("root"))
-    roots = None
     while True:
-        # Hubs of this round by rank; those of earlier rounds have been compared with all of their bucket.
-        top = hubs(open_, first + many).filter(F.col("rank") > first)
-        pairs = open_.join(top, F.col("key") == F.col("_key")).filter((F.col("node") != F.col("hub")) & size_fits("n", "hub_n", percent))
-        if roots is not None:
-            hub_root = roots.select(F.col("node").alias("_hub"), F.col("root").alias("_hub_root"))
-            pairs = pairs.join(hub_root, F.col("hub") == F.col("_hub"), "left").filter(F.coalesce("_hub_root", "hub") != F.col("root"))
+        top = hubs(open_, first, many)
+        fits = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("hub_root")) & size_fits("n", "hub_n", percent) & may_link(percent)
+        pairs = open_.join(top, fits)
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         checked = verified(durable(pairs), sets, percent)
         done = checked if done is None else durable(done.unionAll(checked))
         roots = components(done.filter("linked").select("a", "b"))
-        open_ = mixed_buckets(labelled(open_.drop("root"), roots))
-        first, many = first + many, 4 * many
-        # A bucket is finished when it lies in one component or all its nodes have been hubs.
-        left = open_.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > first + 1).select(F.col("key").alias("_key"))
-        left = durable(left)
+        left = mixed_buckets(labelled(open_.drop("root"), roots), first + many)
         if left.isEmpty():
-            return done.filter("linked").select("a", "b"), roots
-        open_ = durable(open_.join(left, F.col("key") == F.col("_key")).drop("_key"))
+            return roots
+        open_ = left if first else durable(labelled(measured(left, top, done), roots))
+        first, many = first + many, 4 * many
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, rest: Column | None = None) -> DataFrame:
@@ -249,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, rest:
         F.min("doc_id").alias("low"), F.min("_row").alias("_row"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")
     )
     nodes = stored(nodes)
-    _, roots = links(plain, nodes, percent, shingle)
+    roots = links(plain, nodes, percent, shingle)
     rooted = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     rooted = durable(rooted)
     lowest = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
