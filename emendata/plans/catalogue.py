@@ -1,4 +1,472 @@
-"""Queries over the driver's tables and the SQL they are held against."""
+"""Queries over the driver's tables and the SQL they are held against.
+
+events stand for an observation log: user_id is the document, event_type the content. Orders stand for documents under
+a re-check policy, customers and nations for documents and feeds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from emendata.functions import dates, http, text, urls
+from emendata.operators import diff, planning, versioning
+from emendata.sources import articles, captures, robots
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+
+
+def event_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versioning.append_if_changed(observations(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
+
+
+REVISIONS = """
+    o AS (SELECT event_id, user_id, ts, event_type, lag(event_type) OVER w AS before, row_number() OVER w AS n
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    v AS (SELECT *, sum(CASE WHEN n = 1 OR before IS DISTINCT FROM event_type THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS version_number,
+                    n = 1 OR before IS DISTINCT FROM event_type AS is_new FROM o),
+    r AS (SELECT event_id, user_id, ts, event_type, version_number FROM v WHERE is_new)"""
+
+
+@query(f"WITH {REVISIONS} SELECT * FROM r")
+def append_if_changed(spark, sf_dir):
+    return event_revisions(spark, sf_dir)
+
+
+@query(
+    f"""WITH {REVISIONS} SELECT event_id, user_id, ts, event_type, CASE WHEN is_new THEN 'APPENDED' ELSE 'UNCHANGED' END AS outcome,
+        version_number, CASE WHEN is_new THEN nullif(version_number - 1, 0) ELSE version_number END AS previous_version FROM v"""
+)
+def store_verdicts(spark, sf_dir):
+    return versioning.store_verdicts(observations(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query(f"WITH {REVISIONS} SELECT user_id, max(version_number) AS version_count, max(ts) FILTER (WHERE version_number > 1) AS last_changed_at FROM r GROUP BY 1")
+def document_counters(spark, sf_dir):
+    return versioning.counters(event_revisions(spark, sf_dir), "user_id", "ts")
+
+
+@query(f"WITH {REVISIONS} SELECT user_id, event_id, ts, event_type, version_number FROM r QUALIFY version_number = max(version_number) OVER (PARTITION BY user_id)")
+def latest_revisions(spark, sf_dir):
+    return versioning.latest(event_revisions(spark, sf_dir), "user_id").select("user_id", "event_id", "ts", "event_type", "version_number")
+
+
+@query(f"WITH {REVISIONS} SELECT event_id, ts, event_type, version_number FROM r WHERE user_id = 7 ORDER BY version_number")
+def revision_history(spark, sf_dir):
+    return versioning.history(event_revisions(spark, sf_dir), "user_id", 7).select("event_id", "ts", "event_type", "version_number")
+
+
+@query(f"WITH {REVISIONS} SELECT event_id, ts, event_type FROM r WHERE user_id = 7 AND version_number = 2")
+def one_revision(spark, sf_dir):
+    return versioning.version(event_revisions(spark, sf_dir), "user_id", 7, 2).select("event_id", "ts", "event_type")
+
+
+def _changed(spark, sf_dir, **options):
+    revisions = event_revisions(spark, sf_dir)
+    seen = observations(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("first_seen_at"))
+    documents = versioning.counters(revisions, "user_id", "ts").join(seen, "user_id")
+    newest = versioning.latest(revisions, "user_id").select("user_id", F.col("event_type").alias("newest"))
+    return versioning.changed_documents(documents, newest, "user_id", **options)
+
+
+_CHANGED = f"""WITH {REVISIONS},
+    d AS (SELECT user_id, max(version_number) AS version_count, max(ts) FILTER (WHERE version_number > 1) AS last_changed_at FROM r GROUP BY 1),
+    s AS (SELECT user_id, min(ts) AS first_seen_at FROM events GROUP BY 1),
+    l AS (SELECT user_id, event_type AS newest FROM r QUALIFY version_number = max(version_number) OVER (PARTITION BY user_id))
+    SELECT d.user_id, version_count, last_changed_at, first_seen_at, newest FROM d JOIN s USING (user_id) JOIN l USING (user_id)"""
+
+
+@query(_CHANGED + " WHERE version_count > 1 ORDER BY last_changed_at DESC NULLS LAST, user_id LIMIT 50")
+def changed_documents(spark, sf_dir):
+    return _changed(spark, sf_dir)
+
+
+@query(
+    _CHANGED
+    + " WHERE version_count >= 3 AND coalesce(last_changed_at, first_seen_at) >= TIMESTAMP '2024-01-15' ORDER BY last_changed_at DESC NULLS LAST, user_id LIMIT 200"
+)
+def changed_documents_filtered(spark, sf_dir):
+    return _changed(spark, sf_dir, since=F.lit("2024-01-15").cast("timestamp_ntz"), least_versions=3, limit=1000)
+
+
+@query(
+    """WITH o AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS before, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version_number FROM o WHERE n = 1 OR before IS DISTINCT FROM text),
+    d AS (SELECT conv_id, max(version_number) AS version_count, max(turn) FILTER (WHERE version_number > 1) AS last_changed_at FROM r GROUP BY 1)
+    SELECT d.conv_id, version_count, last_changed_at, text AS newest FROM d JOIN r ON d.conv_id = r.conv_id AND version_number = version_count
+    WHERE version_count > 1 ORDER BY last_changed_at DESC NULLS LAST, d.conv_id LIMIT 50"""
+)
+def changed_conversations(spark, sf_dir):
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    revisions = versioning.append_if_changed(log, "conv_id", "turn", "text")
+    newest = versioning.latest(revisions, "conv_id").select("conv_id", F.col("text").alias("newest"))
+    return versioning.changed_documents(versioning.counters(revisions, "conv_id", "turn"), newest, "conv_id")
+
+
+@query(f"WITH {REVISIONS} SELECT user_id, event_type, version_number FROM r WHERE ts <= TIMESTAMP '2024-02-01' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, version_number DESC) = 1")
+def as_of_revision(spark, sf_dir):
+    at = F.lit("2024-02-01").cast("timestamp_ntz")
+    return versioning.as_of(event_revisions(spark, sf_dir), "user_id", "ts", at).select("user_id", "event_type", "version_number")
+
+
+@query(
+    f"""WITH {REVISIONS}, q AS (SELECT event_id, user_id, ts - INTERVAL 1 HOUR AS asked FROM events)
+    SELECT q.event_id, q.user_id, asked, r.event_type, r.version_number FROM q LEFT JOIN r ON r.user_id = q.user_id AND r.ts <= asked
+    QUALIFY row_number() OVER (PARTITION BY q.event_id ORDER BY r.ts DESC NULLS LAST, r.version_number DESC) = 1"""
+)
+def as_of_join(spark, sf_dir):
+    asked = observations(spark, sf_dir).select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("asked"))
+    revisions = event_revisions(spark, sf_dir).drop("event_id")
+    return versioning.as_of_join(asked, revisions, "user_id", "asked", "ts", ["event_type", "version_number"])
+
+
+@query(f"WITH {REVISIONS}, f AS (SELECT *, min(version_number) OVER (PARTITION BY user_id, event_type) AS first_version FROM r) SELECT user_id, event_type, version_number, first_version FROM f WHERE first_version < version_number")
+def revert_detection(spark, sf_dir):
+    return versioning.reverts(event_revisions(spark, sf_dir), "user_id", "event_type").select("user_id", "event_type", "version_number", "first_version")
+
+
+@query(f"WITH {REVISIONS} SELECT user_id, lag(version_number) OVER w AS from_version, version_number AS to_version, lead(version_number) OVER w IS NULL AS current, lag(event_type) OVER w AS from_event_type, event_type AS to_event_type FROM r WINDOW w AS (PARTITION BY user_id ORDER BY version_number) QUALIFY from_version IS NOT NULL")
+def revision_pairs(spark, sf_dir):
+    return versioning.revision_pairs(event_revisions(spark, sf_dir), "user_id", ["event_type"])
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_number FROM events")
+def renumbered_backfill(spark, sf_dir):
+    return versioning.renumbered(observations(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "version_number")
+
+
+@query(f"WITH {REVISIONS} SELECT * FROM r")
+def merged_batches(spark, sf_dir):
+    """Two batches merged give the revisions of one."""
+    log = observations(spark, sf_dir).withColumn("at", F.struct("ts", "event_id"))
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    early = versioning.append_if_changed(log.filter(F.col("ts") < cut).select("user_id", "at", "event_type"), "user_id", "at", "event_type")
+    late = versioning.merge_revisions(early, log.filter(F.col("ts") >= cut).select("user_id", "at", "event_type"), "user_id", "at", "event_type")
+    both = early.unionByName(late)
+    return both.select("at.event_id", "user_id", "at.ts", "event_type", "version_number")
+
+
+@query(
+    """SELECT event_type AS identity, min_by(user_id, event_id) AS feed_id, min_by(user_id, event_id) FILTER (WHERE value > 50) AS observed_origin,
+       min_by(ts, event_id) AS first_seen_at, max_by(ts, event_id) AS last_checked_at FROM events GROUP BY 1"""
+)
+def registered_documents(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("identity"), "user_id", "ts", "event_id", F.when(F.col("value") > 50, F.col("user_id")).alias("origin"))
+    return versioning.register(seen, "identity", "ts", "user_id", "origin", "event_id")
+
+
+@query("SELECT n_nationkey, n_name, count(c_custkey) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2 ORDER BY documents DESC, n_name LIMIT 5")
+def feed_coverage(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    return versioning.feed_coverage(table(spark, sf_dir, "nation"), customers, "n_nationkey", "n_name", "c_custkey")
+
+
+@query(
+    """WITH d AS (SELECT page_id, url, lead(url) OVER (ORDER BY page_id) AS origin FROM pages),
+    w AS (SELECT DISTINCT url FROM pages),
+    m AS (SELECT w.url, page_id, 1 AS rank, d.url AS i FROM w JOIN d ON d.url = w.url UNION ALL SELECT w.url, page_id, 2, d.url FROM w JOIN d ON d.origin = w.url)
+    SELECT url, page_id FROM m QUALIFY row_number() OVER (PARTITION BY url ORDER BY rank, i) = 1"""
+)
+def either_key_lookup(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("origin"))
+    known = pages.join(after, "page_id", "left").withColumnRenamed("url", "identity")
+    return versioning.either_key_lookup(pages.select("url").distinct(), known, "url", "identity", "origin", ["page_id"])
+
+
+@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
+def not_planned(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return versioning.not_planned(pages, pages.filter("page_id % 3 = 0"), "url")
+
+
+_STRIKES = """
+    a AS (SELECT user_id, ts, event_type = 'error' AS failed, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS ok FROM events),
+    s AS (SELECT user_id, max(ts) AS last_attempt_at, count(*) FILTER (WHERE failed AND ok = 0) AS failure_count FROM a GROUP BY 1)"""
+
+
+def _strikes(spark, sf_dir):
+    return planning.attempt_strikes(observations(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("event_type") == "error", "ts")
+
+
+@query(f"WITH {_STRIKES} SELECT * FROM s")
+def attempt_strikes(spark, sf_dir):
+    return _strikes(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_STRIKES}, h AS (SELECT c_custkey AS user_id, last_attempt_at, coalesce(failure_count, 0) AS failure_count FROM customer LEFT JOIN s ON user_id = c_custkey),
+    q AS (SELECT *, row_number() OVER (PARTITION BY failure_count >= 1 ORDER BY last_attempt_at NULLS FIRST, user_id) AS n FROM h)
+    SELECT user_id, last_attempt_at, failure_count, CASE WHEN failure_count >= 1 THEN 'ABANDONED' WHEN n <= 50 THEN 'ADMITTED' ELSE 'DEFERRED' END AS admission FROM q"""
+)
+def article_budget(spark, sf_dir):
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    histories = planning.histories_of(wanted, _strikes(spark, sf_dir), "user_id")
+    return planning.ArticleBudget(50, 1).admit(histories, "user_id").select("user_id", "last_attempt_at", "failure_count", "admission")
+
+
+@query(
+    """WITH t AS (SELECT user_id % 25 AS feed, count(*) AS fetches, count(*) FILTER (WHERE event_type = 'purchase') AS confirmed
+                  FROM events WHERE value > 40 AND event_type IN ('purchase', 'view') GROUP BY 1)
+    SELECT n_nationkey AS feed, CASE WHEN confirmed > 0 THEN 0 ELSE least(n_regionkey + coalesce(fetches, 0), 2147483647) END::INT AS unconfirmed_claims FROM nation LEFT JOIN t ON feed = n_nationkey"""
+)
+def claim_credibility(spark, sf_dir):
+    outcome = F.when(F.col("event_type") == "purchase", "CHANGED").when(F.col("event_type") == "view", "UNCHANGED").otherwise("FAILED")
+    results = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("feed"), "value", outcome.alias("outcome"))
+    tally = planning.claim_tally(results, "feed", F.col("value") > 40, "outcome")
+    feeds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("feed"), F.col("n_regionkey").alias("unconfirmed_claims"))
+    return planning.claim_strikes(feeds, tally, "feed")
+
+
+NOW = 820_454_400  # 1996-01-01
+_STATES = """
+    e AS (SELECT o_orderkey AS pos, 'host' || (o_custkey % 40) AS host, epoch(o_orderdate)::BIGINT AS first_seen,
+          CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE epoch(o_orderdate)::BIGINT + (o_orderkey % 500) * 3600 END AS last_checked,
+          CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0 THEN epoch(o_orderdate)::BIGINT + (o_orderkey % 90) * 3600 END AS last_changed,
+          CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 + o_orderkey % 5 END AS version_count,
+          epoch(o_orderdate)::BIGINT + (o_orderkey % 700) * 3600 AS feed_updated, o_orderkey % 11 = 0 AS feed_updated_exact, (o_orderkey % 30)::INT AS unconfirmed_claims
+          FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')"""
+
+
+def states(spark, sf_dir):
+    key, day = F.col("o_orderkey"), F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000
+    day = day.cast("long")
+    unseen = key % 7 == 0
+    return table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select(
+        key.alias("pos"),
+        F.concat(F.lit("host"), (F.col("o_custkey") % 40).cast("string")).alias("host"),
+        day.alias("first_seen"),
+        F.when(~unseen, day + (key % 500) * 3600).alias("last_checked"),
+        F.when(~unseen & (key % 3 == 0), day + (key % 90) * 3600).alias("last_changed"),
+        F.when(unseen, 0).otherwise(1 + key % 5).alias("version_count"),
+        (day + (key % 700) * 3600).alias("feed_updated"),
+        (key % 11 == 0).alias("feed_updated_exact"),
+        (key % 30).cast("int").alias("unconfirmed_claims"),
+    )
+
+
+_PLAN = f"""WITH {_STATES},
+    x AS (SELECT *, greatest(first_seen, last_changed) AS event, coalesce(feed_updated_exact AND feed_updated > last_checked, false) AS claim FROM e),
+    d AS (SELECT *, CASE WHEN last_checked IS NULL THEN 'DUE' WHEN claim AND unconfirmed_claims < 20 THEN 'DUE'
+                         WHEN {NOW} - event > 604800 * least(1 + greatest(0, version_count - 1), 4) THEN 'RETIRED'
+                         WHEN {NOW} - last_checked >= greatest(600, least(43200, floor(greatest(0, {NOW} - event) * 0.25::DOUBLE))) THEN 'DUE' ELSE 'WAITING' END AS d FROM x),
+    p AS (SELECT *, sum(coalesce(last_checked > {NOW} - 3600, false)::INT) OVER (PARTITION BY host) AS spent,
+                 row_number() OVER (PARTITION BY host, d ORDER BY last_checked NULLS FIRST, pos) AS turn FROM d),
+    f AS (SELECT pos, host, CASE WHEN d = 'DUE' AND spent + turn > 120 THEN 'THROTTLED' ELSE d END AS decision FROM p)"""
+
+
+@query(_PLAN + " SELECT pos, host, decision FROM f")
+def recheck_plan(spark, sf_dir):
+    return planning.RecheckPolicy().plan(states(spark, sf_dir), NOW).select("pos", "host", "decision")
+
+
+@query(_PLAN + " SELECT decision, count(*) AS n FROM f GROUP BY 1")
+def recheck_report(spark, sf_dir):
+    return planning.RecheckPolicy().plan(states(spark, sf_dir), NOW).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_STATES}, x AS (SELECT *, greatest(first_seen, last_changed) AS event FROM e)
+    SELECT pos, last_checked FROM x WHERE last_checked < {NOW} - 600 AND (event > {NOW} - 604800 OR (version_count > 1 AND event > {NOW} - 4 * 604800)) ORDER BY last_checked, pos LIMIT 500"""
+)
+def possibly_due(spark, sf_dir):
+    return planning.RecheckPolicy().possibly_due(states(spark, sf_dir), NOW, doc="pos").select("pos", "last_checked")
+
+
+@query("SELECT page_id, row_number() OVER (PARTITION BY trim(url) ORDER BY page_id) > 1 AS duplicate FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url || ' ' FROM pages WHERE page_id % 2 = 0)")
+def first_link_wins(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    again = pages.filter("page_id % 2 = 0").select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat("url", F.lit(" ")).alias("url"))
+    return planning.first_link_wins(pages.unionByName(again), "url", ["page_id"]).select("page_id", "duplicate")
+
+
+@query(
+    """WITH n AS (SELECT n_name AS url, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS name FROM nation WHERE n_nationkey >= 5),
+    o AS (SELECT n_name AS url, n_name AS old FROM nation WHERE n_nationkey < 20)
+    SELECT coalesce(o.url, n.url) AS url, coalesce(name, old) AS name, CASE WHEN o.url IS NULL THEN 'added' WHEN name <> old THEN 'renamed' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.url = n.url"""
+)
+def catalog_sync(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    old = nations.filter("n_nationkey < 20").select(F.col("n_name").alias("url"), F.col("n_name").alias("name"))
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lower("n_name"))
+    return planning.sync_catalogue(old, nations.filter("n_nationkey >= 5").select(F.col("n_name").alias("url"), name.alias("name")))
+
+
+@query(
+    """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN 'old' ELSE 'old' END AS etag,
+       CASE WHEN n_nationkey % 3 = 0 THEN 'new' WHEN n_nationkey % 3 = 1 THEN 'new' ELSE 'was' END AS last_modified,
+       CASE WHEN n_nationkey % 3 = 0 THEN 200 WHEN n_nationkey % 3 = 1 THEN 304 ELSE 500 END AS last_status, 5::BIGINT AS last_polled_at FROM nation"""
+)
+def validator_carry_over(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    feeds = nations.select(F.col("n_nationkey").alias("id"), F.lit("old").alias("etag"), F.lit("was").alias("last_modified"), F.lit(None).cast("int").alias("last_status"), F.lit(1).cast("long").alias("last_polled_at"))
+    status = F.element_at(F.array(F.lit(200), F.lit(304), F.lit(500)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    results = nations.select(F.col("n_nationkey").alias("id"), http.feed_verdict(status).alias("outcome"), F.lit(None).cast("string").alias("etag"), F.lit("new").alias("last_modified"), status.alias("status"), F.lit(5).cast("long").alias("polled_at"))
+    return planning.validators(feeds, results, "id")
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type IN ('view', 'error')) AS checked FROM events")
+def run_report(spark, sf_dir):
+    return planning.run_report(observations(spark, sf_dir), "event_type", ("view", "error"))
+
+
+_CANONICAL = r"""
+    p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+    c AS (SELECT page_id, 'https://' || regexp_replace(lower(host), '^((www|m)\.)+', '') || coalesce(nullif(regexp_replace(path, '/$', ''), ''), '/') ||
+          CASE WHEN len(k) > 0 THEN '?' || array_to_string(list_sort(k), '&') ELSE '' END AS canonical_url
+          FROM (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND NOT starts_with(x, 'ref=')) AS k FROM p))"""
+
+
+@query(f"WITH {_CANONICAL} SELECT * FROM c")
+def canonical_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query(f"WITH {_CANONICAL} SELECT canonical_url, count(*) AS n, min(page_id) AS first_page FROM c GROUP BY 1")
+def url_identity_groups(spark, sf_dir):
+    return canonical_urls(spark, sf_dir).groupBy("canonical_url").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages")
+def host_buckets(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.host_bucket(F.col("url")).alias("host"))
+
+
+@query()
+def folded_hashes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.content_hash(F.lit(""), F.split("text", "\n")).alias("content_hash"))
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(nfc_normalize(x), '[\\x00-\\x08\\x0E-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents
+               WHERE NOT regexp_matches(text, '[0-9_`´]|[:=]|\\b(ago|soeben|eben|vor|just|moments)\\b'))
+    SELECT doc_id, sha256('{text.SCHEME}' || chr(10) || '0:' || chr(10) || array_to_string(list_transform(p, lambda x: length(x) || ':' || x || chr(10)), '')) AS content_hash FROM f"""
+)
+def folded_hash_basic(spark, sf_dir):
+    """Texts in which nothing is masked, so that SQL without look-around can spell the fold."""
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[0-9_`´]|[:=]|\b(ago|soeben|eben|vor|just|moments)\b"))
+    return docs.select("doc_id", text.content_hash(F.lit(""), F.split("text", "\n")).alias("content_hash"))
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicate_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return docs.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@query("SELECT sha256(html)[1:2] || '/' || sha256(html)[3:4] || '/' || sha256(html) || '.html.gz' AS ref, min(length(html)) AS n FROM pages GROUP BY 1")
+def raw_store(spark, sf_dir):
+    pages = captures.new_pages(table(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("html")), "html")
+    return pages.select("ref", F.length(F.decode("body", "UTF-8")).cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey, epoch_us(o_orderdate + INTERVAL 1 MINUTE) - 7200000000 AS micros, true AS exact FROM orders")
+def normalised_dates(spark, sf_dir):
+    written = F.concat(F.date_format("o_orderdate", "d MMM yyyy HH:mm"), F.lit(" +0200"))
+    later = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate") + F.expr("INTERVAL 1 MINUTE"))
+    found = later.select("o_orderkey", dates.normalise_date(written, F.lit("2030-01-01").cast("timestamp")).alias("d"))
+    return found.select("o_orderkey", F.unix_micros("d.instant").alias("micros"), F.col("d.exact").alias("exact"))
+
+
+@query(
+    """SELECT event_type, verdict, count(*) AS n FROM (SELECT event_type, CASE WHEN event_type = 'error' THEN 'FAILED' WHEN user_id % 3 = 0 THEN 'SKIPPED_NOT_HTML' WHEN user_id % 5 = 0 THEN 'BLOCKED_BY_ROBOTS' ELSE 'FETCHED' END AS verdict
+       FROM (SELECT event_type, user_id FROM events WHERE NOT (event_type = 'error' AND user_id % 5 = 0) AND NOT (user_id % 15 = 0))) GROUP BY 1, 2"""
+)
+def fetch_verdicts(spark, sf_dir):
+    rows = observations(spark, sf_dir).filter("NOT (event_type = 'error' AND user_id % 5 = 0) AND NOT (user_id % 15 = 0)")
+    body = F.when(F.col("user_id") % 3 == 0, F.unhex(F.lit("89504E470D0A"))).otherwise(F.encode(F.lit("<p>"), "UTF-8"))
+    status = F.when(F.col("event_type") == "error", 500).otherwise(200)
+    verdict = http.fetch_verdict(F.col("user_id") % 5 == 0, status, F.lit("Text/HTML; charset=x"), body)
+    return rows.select("event_type", verdict.alias("verdict")).groupBy("event_type", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN ends_with(path, '.html') THEN false WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/en/') THEN false ELSE true END AS allowed
+       FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(url, '(\\?[^#]*)', 1) AS path FROM pages)"""
+)
+def robots_verdicts(spark, sf_dir):
+    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/ # English\nAllow: /en/1\nDisallow: *.html$\nDisallow:\nCrawl-delay: 3\n"
+    known = robots.rules(spark.createDataFrame([("all", body)], "site string, body string"), "site", "body", "emendata")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("all").alias("site"), http.request_target(F.col("url")).alias("target"))
+    return robots.verdicts(pages, known, "site", "target").select("page_id", "allowed")
+
+
+@query(
+    """WITH v AS (SELECT user_id, event_id, event_type = 'error' AS replaced, CASE WHEN value > 50 THEN 'UTF-8' ELSE 'windows-1252' END AS charset FROM events),
+    l AS (SELECT *, lag(replaced) OVER w AS old, lag(charset) OVER w AS was FROM v WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, CASE WHEN old IS NULL THEN NULL WHEN old AND NOT replaced THEN 'LOSS_ENDED' WHEN NOT old AND replaced THEN 'LOSS_BEGAN' WHEN old AND was <> charset THEN 'CHARSET_CHANGED' END AS repair FROM l"""
+)
+def encoding_repairs(spark, sf_dir):
+    verdict = F.struct(F.when(F.col("value") > 50, "UTF-8").otherwise("windows-1252").alias("charset"), F.lit("DOCUMENT").alias("source"), (F.col("event_type") == "error").alias("replaced"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", verdict.alias("v"))
+    before = F.lag("v").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return rows.withColumn("b", before).select("event_id", http.encoding_repair(F.col("b"), F.col("v")).alias("repair"))
+
+
+@query("SELECT page_id, replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def article_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", articles.article(F.col("html"), F.col("url")).getField("title").alias("title"))
+
+
+@query()
+def extracted_articles(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", "url", articles.article(F.col("html"), F.col("url")).alias("a"))
+    return found.select(
+        "page_id",
+        urls.document_identity(F.col("url"), F.col("a.canonical")).alias("identity"),
+        F.col("a.title").alias("title"),
+        F.size("a.paragraphs").alias("n_paragraphs"),
+        F.array_join("a.paragraphs", "\n").alias("body"),
+        text.content_hash(F.col("a.title"), F.col("a.paragraphs")).alias("content_hash"),
+    )
+
+
+def conversation_pairs(spark, sf_dir):
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.split("text", "\n").alias("paragraphs"), "text")
+    revisions = versioning.append_if_changed(log, "conv_id", "turn", "text")
+    return versioning.revision_pairs(revisions, "conv_id", ["title", "paragraphs"])
+
+
+@query()
+def revision_diffs(spark, sf_dir):
+    found = diff.revision_diffs(conversation_pairs(spark, sf_dir), "title", "paragraphs")
+    count = lambda kind: F.size(F.filter("diff.paragraphs", lambda c: c["kind"] == kind)).alias(kind.lower())
+    return found.select("conv_id", "from_version", "to_version", count("ADDED"), count("REMOVED"), count("MOVED"), count("CHANGED"), F.col("diff.title").isNotNull().alias("title_changed"), F.col("diff.rewrites").alias("rewrites"), F.to_json("diff").alias("diff"))
+
+
+@query()
+def marked_words(spark, sf_dir):
+    found = diff.revision_diffs(conversation_pairs(spark, sf_dir), "title", "paragraphs")
+    rows = found.select("conv_id", "to_version", F.explode("diff.paragraphs").alias("c")).filter("c.kind = 'CHANGED'")
+    return rows.select("conv_id", "to_version", F.to_json(diff.word_markup(F.col("c.from_text"), F.col("c.to_text"), F.col("c.words"))).alias("markup"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, lag(role) OVER w AS before, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, role, n AS since_version, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS title_number FROM t WHERE n = 1 OR before IS DISTINCT FROM role"""
+)
+def title_history(spark, sf_dir):
+    log = versioning.renumbered(table(spark, sf_dir, "conversations"), "conv_id", "turn", "turn").select("conv_id", "version_number", "role")
+    return versioning.title_history(log, "conv_id", "role")
