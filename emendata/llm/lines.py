@@ -24,15 +24,14 @@ def name_of(*parts: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
-def buckets(named: DataFrame) -> DataFrame:
-    """Add to each position the first position of its bucket; positions alone in their bucket go.
+def buckets(named: DataFrame, name: str = "n") -> DataFrame:
+    """_n, first: the first place of every bucket that holds two or more.
 
-    ``named`` has n (the name) and place. Counts are summed before the shuffle, and the join back can be split, so
-    one name may hold any share of the positions.
+    Summed before the shuffle and stored, so that one name may hold any share of the positions: the join to it can be
+    split.
     """
-    groups = named.groupBy(F.col("n").alias("_n")).agg(F.count("*").alias("_c"), F.min("place").alias("first"))
-    groups = durable(groups.filter("_c > 1").drop("_c"))
-    return named.join(groups, F.col("n") == F.col("_n")).drop("_n")
+    groups = named.groupBy(F.col(name).alias("_n")).agg(F.min("place").alias("first"), F.max("place").alias("_last"))
+    return durable(groups.filter("first < _last").drop("_last"))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -51,62 +50,69 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.select("_k", "pos", place.alias("place"), F.col("line.n").alias("n"), (F.col("upto") - F.col("line.w")).alias("before"), "upto")
 
 
+def doubled(repeated: DataFrame) -> DataFrame:
+    """_k, pos, k, place, n of every run of 2^k lines, k from 1, that lies in a stretch of repeated lines.
+
+    A stretch names all its runs by itself: level k + 1 is level k zipped with level k moved by 2^k.
+    """
+    order = Window.partitionBy("_k").orderBy("pos")
+    rows = repeated.withColumn("_s", F.col("pos") - F.row_number().over(order))
+    parts = rows.groupBy("_k", "_s").agg(F.min("place").alias("start"), F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("a")).filter(F.size("a") > 1)
+
+    def step(levels: Column, k: Column) -> Column:
+        last = F.element_at(levels, -1)
+        moved = F.slice(last, F.pow(F.lit(2), k).cast("int") + 1, F.size(last))
+        pair = lambda x, y: F.when(y.isNotNull() & x.isNotNull(), name_of(x, y))
+        return F.concat(levels, F.array(F.zip_with(last, moved, pair)))
+
+    # Levels beyond the first hold nulls at their ends, so the first one has to have the type of one that may.
+    names = F.transform("a", lambda x: F.when(x["pos"] >= 0, x["n"]))
+    tops = F.sequence(F.lit(0), F.floor(F.log2(F.size("a"))).cast("int") - 1)
+    levels = parts.select("_k", "start", F.aggregate(tops, F.array(names), step).alias("levels"))
+    runs = levels.select("_k", "start", F.posexplode("levels").alias("k", "names")).filter("k > 0")
+    runs = runs.select("_k", "start", "k", F.posexplode("names").alias("i", "n")).filter("n IS NOT NULL")
+    pos = F.col("start.p") + F.col("i")
+    place = F.struct(F.col("start.z").alias("z"), F.col("start.d").alias("d"), F.col("start.k").alias("k"), pos.alias("p"))
+    return runs.select("_k", pos.alias("pos"), "k", place.alias("place"), "n")
+
+
 def earlier_runs(lines: DataFrame) -> DataFrame:
     """_k, pos, len: for every position the longest run of which an equal one starts at an earlier place."""
-    level = durable(buckets(lines.select("_k", "pos", "place", "n")))
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        step = 2 ** (len(levels) - 1)
-        after = level.select(F.col("_k").alias("_k2"), (F.col("pos") - step).alias("_p2"), F.col("n").alias("_n2"))
-        doubled = level.join(after, (F.col("_k") == F.col("_k2")) & (F.col("pos") == F.col("_p2")))
-        level = durable(buckets(doubled.select("_k", "pos", "place", name_of(F.col("n"), F.col("_n2")).alias("n"))))
-    if not levels:
-        return lines.select("_k", "pos", F.lit(0).alias("len")).limit(0)
-    # The longest power of two at which a position has an earlier copy; there it enters the descent.
-    later = None
-    for k, x in enumerate(levels):
-        own = x.filter(F.col("first") < F.col("place")).select("_k", "pos", F.lit(k).alias("k"))
-        later = own if later is None else later.unionAll(own)
-    highest = durable(later.groupBy("_k", "pos").agg(F.max("k").alias("k")))
-    # Rows of the descent: a position in the bucket n of its run of len lines. A shadow is the first position of a
-    # bucket, which stays for the others to be compared with; its own run is another row.
-    state = None
-    for k in range(len(levels) - 1, -1, -1):
-        if state is not None:
-            state = extended(state, levels[k], 2**k)
-        own = levels[k].join(highest.filter(F.col("k") == k).drop("k"), ["_k", "pos"])
-        entering = own.select("_k", "pos", "place", "n", F.lit(2**k).alias("len"), F.lit(False).alias("shadow"))
-        firsts = own.groupBy("n").agg(F.min("first").alias("place"))
-        shadows = firsts.select(F.col("place.k").alias("_k"), F.col("place.p").alias("pos"), "place", "n", F.lit(2**k).alias("len"), F.lit(True).alias("shadow"))
-        entering = entering.unionByName(shadows)
-        state = durable(entering if state is None else state.unionByName(entering))
+    single = lines.select("_k", "pos", "place", "n")
+    single = durable(single.join(buckets(single), F.col("n") == F.col("_n")).drop("_n"))
+    runs = durable(doubled(single))
+    runs = runs.join(buckets(runs), F.col("n") == F.col("_n")).drop("_n")
+    levels = durable(runs.unionByName(single.withColumn("k", F.lit(0))).withColumn("step", F.pow(F.lit(2), F.col("k")).cast("int")))
+    # A position enters the descent at the longest power of two of which it has an earlier copy, in the bucket of
+    # that run. A shadow is the first position of a bucket, which stays for the others to be compared with; its own
+    # run is another row.
+    later = levels.filter(F.col("first") < F.col("place"))
+    own = later.groupBy("_k", "pos").agg(F.max(F.struct("k", "step", "place", "n", "first")).alias("m")).select("_k", "pos", "m.*")
+    own = durable(own)
+    firsts = own.groupBy("k", "n", "step").agg(F.min("first").alias("place"))
+    shadows = firsts.select(F.col("place.k").alias("_k"), F.col("place.p").alias("pos"), "k", "step", "place", "n", F.lit(True).alias("shadow"))
+    enter = durable(own.drop("first").withColumn("shadow", F.lit(False)).unionByName(shadows).withColumnRenamed("step", "len"))
+    top = enter.agg(F.max("k")).first()[0]
+    state = enter.filter(F.col("k") == (0 if top is None else top)).drop("k")
+    for k in range((top or 0) - 1, -1, -1):
+        state = durable(extended(state, levels.filter(F.col("k") == k)).unionByName(enter.filter(F.col("k") == k).drop("k")))
     return state.filter("NOT shadow").select("_k", "pos", "len")
 
 
-def extended(state: DataFrame, level: DataFrame, step: int) -> DataFrame:
-    """The state after the attempt to lengthen every run by ``step`` lines."""
-    ahead = level.select(F.col("_k").alias("_k2"), F.col("pos").alias("_p2"), F.col("n").alias("_n2"))
+def extended(state: DataFrame, level: DataFrame) -> DataFrame:
+    """The state after the attempt to lengthen every run by a run of ``level``, in which all have one length."""
+    ahead = level.select(F.col("_k").alias("_k2"), F.col("pos").alias("_p2"), F.col("n").alias("_n2"), "step")
     tried = state.join(ahead, (F.col("_k") == F.col("_k2")) & (F.col("pos") + F.col("len") == F.col("_p2")), "left")
-    tried = tried.withColumn("_new", F.when(F.col("_n2").isNotNull(), name_of(F.col("n"), F.col("_n2")))).drop("_k2", "_p2", "_n2")
-    tried = durable(tried)
-    groups = tried.filter("_new IS NOT NULL").groupBy(F.col("_new").alias("_g")).agg(F.count("*").alias("_c"), F.min("place").alias("_first"))
-    groups = durable(groups.filter("_c > 1").drop("_c"))
-    met = tried.join(groups, F.col("_new") == F.col("_g"), "left")
-    moves = F.col("_first").isNotNull() & (F.col("_first") < F.col("place"))
-    moved = met.select(
-        "_k",
-        "pos",
-        "place",
-        F.when(moves, F.col("_new")).otherwise(F.col("n")).alias("n"),
-        F.when(moves, F.col("len") + step).otherwise(F.col("len")).alias("len"),
-        "shadow",
-    )
-    firsts = tried.join(groups, (F.col("_new") == F.col("_g")) & (F.col("_first") == F.col("place"))).select(
-        "_k", "pos", "place", F.col("_new").alias("n"), (F.col("len") + step).alias("len"), F.lit(True).alias("shadow")
-    )
-    # One first position may stand in its bucket as itself and as a shadow.
-    return moved.unionByName(firsts.dropDuplicates(["_k", "pos", "n", "len"]))
+    new = F.when(F.col("_n2").isNotNull(), name_of(F.col("n"), F.col("_n2")))
+    tried = durable(tried.select("_k", "pos", "place", "n", "len", "shadow", "step", new.alias("_new")))
+    groups = buckets(tried.filter("_new IS NOT NULL"), "_new")
+    met = tried.join(groups, F.col("_new") == F.col("_n"), "left")
+    longer = F.struct(F.col("_new").alias("n"), (F.col("len") + F.col("step")).alias("len"), F.lit(True).alias("shadow"))
+    same = F.struct("n", "len", "shadow")
+    moved = F.struct(F.col("_new").alias("n"), (F.col("len") + F.col("step")).alias("len"), "shadow")
+    # The first of a bucket stays where it is and leaves a shadow in the bucket; the others move on.
+    after = F.when(F.col("first").isNull(), F.array(same)).when(F.col("first") < F.col("place"), F.array(moved)).otherwise(F.array(same, longer))
+    return met.select("_k", "pos", "place", F.explode(after).alias("x")).select("_k", "pos", "place", "x.*")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
