@@ -157,7 +157,7 @@ def size_fits(a: str, b: str, percent: int) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, and linked (100 * intersection >= percent * union) for pairs of nodes, on the whole sets."""
-    schema = "a binary, b binary, common long, linked boolean"
+    schema = "a long, b long, common long, linked boolean"
 
     def run(batches):
         for batch in batches:
@@ -194,7 +194,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     rows = docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("_row"))
     rows = rows.join(wanted.hint("shuffle_hash"), F.col("_row") == F.col("_wanted")).select("node", "text")
-    return stored(rows.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"]))
+    return stored(rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,15 +270,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, rest:
     """
     plain = docs.select("doc_id", "text")
     rows = stored(sketches(plain, shingle))
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.min("_row").alias("_row"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")
+    nodes = rows.filter("node IS NOT NULL").groupBy(F.col("node").alias("digest")).agg(
+        F.min("doc_id").alias("low_id"), F.min("_row").alias("_row"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")
     )
-    nodes = stored(nodes)
+    # Short numbers for the nodes, fixed by being stored.
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = links(plain, nodes, percent, shingle)
-    rooted = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select("digest", "node", "low_id").join(roots, "node", "left").select("digest", "low_id", F.coalesce("root", "node").alias("root"))
     rooted = durable(rooted)
-    lowest = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
-    ids = durable(rooted.join(lowest, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id"))
+    lowest = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("low_id").alias("component_id"))
+    ids = durable(rooted.join(lowest, F.col("root") == F.col("_root")).select(F.col("digest").alias("_node"), "component_id"))
     out = rows.select("doc_id", "_row", "n_shingles", "node").join(ids, F.col("node") == F.col("_node"), "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
