@@ -57,6 +57,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few dozen bytes that may be broadcast; counted before, and joined by a shuffle beyond.
+BROADCAST_ROWS = 250_000
+
+
+def few_or_shuffled(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``side`` (stored, narrow) marked for a join with texts: broadcast if it is counted small, else built by shuffle.
+
+    Either way the texts need no sort; with the broadcast they do not move at all.
+    """
+    return F.broadcast(side) if side.count() <= most else side.hint("shuffle_hash")
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """One key for rows of equal id and text. Rows that repeat both are one document to the operators that use it."""
     return F.xxhash64(doc_id.cast("string"), text)

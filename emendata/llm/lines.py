@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emendata.llm.common import durable, row_key, word_count
+from emendata.llm.common import durable, few_or_shuffled, row_key, word_count
 
 MIN_WORDS = 50
 
@@ -142,8 +142,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rest: Column | None
     rows = docs.select("doc_id", "text", *([] if rest is None else [rest.alias("_rest")]))
     found = durable(later_copies(docs.select("doc_id", "text"), min_words)).withColumnRenamed("_k", "_key")
     rows = rows.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
-    # Spans are few lines for few documents: building on them spares the texts a sort.
-    joined = rows.join(found.hint("shuffle_hash"), F.col("_k") == F.col("_key"), "left")
+    joined = rows.join(few_or_shuffled(found), F.col("_k") == F.col("_key"), "left")
     outside = lambda x, i: ~F.exists("spans", lambda s: (i >= s["from"]) & (i < s["to"]))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), outside), "\n")
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["to"] - s["from"])

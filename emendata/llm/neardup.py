@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from emendata.llm.common import durable, row_key, stored
+from emendata.llm.common import durable, few_or_shuffled, row_key, stored
 from emendata.llm.shingles import U, mixed, parts, shingle_sets
 
 BANDS, ROWS = 12, 4
@@ -193,7 +193,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 )
 
     rows = docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("_row"))
-    rows = rows.join(wanted.hint("shuffle_hash"), F.col("_row") == F.col("_wanted")).select("node", "text")
+    rows = rows.join(few_or_shuffled(wanted), F.col("_row") == F.col("_wanted")).select("node", "text")
     return stored(rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
 
 
@@ -260,13 +260,14 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> Data
         first, many = first + many, 4 * many
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, rest: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, and ``rest`` as _rest.
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, and _row.
 
     A document's set is its distinct shingles of ``shingle`` words, A-Z lower-cased; with fewer words the whole
     sequence is one. Documents are linked if 100 * intersection >= ``percent`` * union. Null, empty and wordless
     texts have no set and are linked with nothing. kept is whether doc_id is component_id; a null doc_id is kept only
-    in a component of null ids. Rows that repeat a doc_id are nodes by their texts and share ids as they come.
+    in a component of null ids. Rows that repeat a doc_id are nodes by their texts and share ids as they come. _row is
+    the key of doc_id and text.
     """
     plain = docs.select("doc_id", "text")
     rows = stored(sketches(plain, shingle))
@@ -282,16 +283,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, rest:
     ids = durable(rooted.join(lowest, F.col("root") == F.col("_root")).select(F.col("digest").alias("_node"), "component_id"))
     out = rows.select("doc_id", "_row", "n_shingles", "node").join(ids, F.col("node") == F.col("_node"), "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if rest is None:
-        return out.select("doc_id", "n_shingles", "component_id", "kept")
-    verdicts = durable(out.dropDuplicates(["_row"]).select(F.col("_row").alias("_r"), "n_shingles", "component_id", "kept"))
-    wide = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row"), rest.alias("_rest"))
-    return wide.join(verdicts.hint("shuffle_hash"), F.col("_row") == F.col("_r")).select("doc_id", "n_shingles", "component_id", "kept", "_rest")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_row")
 
 
 def one_of_each(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept."""
+    """The rows of ``docs``, all columns, that are kept: those that go are looked up, the others do not move."""
+    gone = durable(near_duplicates(docs, percent, shingle).filter("NOT kept").select(F.col("_row").alias("_gone")).distinct())
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = near_duplicates(docs, percent, shingle, rest).filter("kept")
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_row"), rest.alias("_rest"))
+    kept = rows.join(few_or_shuffled(gone), F.col("_row") == F.col("_gone"), "left_anti")
     return kept.select(*[F.col("_rest").getField(c).alias(c) for c in docs.columns])
