@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emendata.llm.common import let
+
 #: The catalogue is broadcast; it may hold so many texts.
 MOST_LICENCES = 10_000
 
@@ -149,6 +151,18 @@ CATALOGUE = (
 )
 
 
+#: Whether any spelling is there to be replaced; one look spares most texts all the replacements.
+ANY_SPELLING = " (?:" + "|".join([a for a, _ in SPELLINGS] + ["non  commercial", "per  cent", "sub  licen[cs]e"]) + ") "
+
+
+def respelled(x: Column) -> Column:
+    for a, b in SPELLINGS:
+        x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
+    for a, b, c in SPLIT_SPELLINGS:
+        x = F.replace(x, F.lit(f" {a}  {b} "), F.lit(f" {c} "))
+    return x
+
+
 def canonical(text: Column) -> Column:
     """The text without what does not count: lower case, words one after the other, spellings made equal."""
     x = F.lower(F.coalesce(text, F.lit("")))
@@ -156,17 +170,12 @@ def canonical(text: Column) -> Column:
     x = F.replace(x, F.lit("https://"), F.lit("http://"))
     # Two spaces between words, so that each word has its own on either side.
     x = F.concat(F.lit(" "), F.regexp_replace(x, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-    for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
-    for a, b, c in SPLIT_SPELLINGS:
-        x = F.replace(x, F.lit(f" {a}  {b} "), F.lit(f" {c} "))
-    return F.trim(x)
+    return F.trim(let(x, lambda v: F.when(v.rlike(ANY_SPELLING), respelled(v)).otherwise(v)))
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form as lowercase hex; null where no word is left."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return let(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def scan(
