@@ -1,8 +1,9 @@
 """MinHash near-duplicates by tensored banding, candidates verified on full shingle sets.
 
-Two collections of BANDS short bands of ROWS minhashes each are computed; every pair of a band of the first and a band
-of the second makes one table key, so BANDS^2 keys cost only 2 * BANDS bands of minhashes. Two sets of similarity s
-share no key with probability 1 - (1 - (1 - s^ROWS)^BANDS)^2, about 3e-4 at s = 0.85 and below 4e-5 at 0.88.
+Two collections of B short bands of ROWS minhashes each are computed; every pair of a band of the first and a band of
+the second makes one table key, so B^2 keys cost only 2 * B bands of minhashes. Two sets of similarity s share no key
+with probability 1 - (1 - (1 - s^ROWS)^B)^2. B is the least that keeps this within MISSED at the threshold: 17 at
+0.80, 12 at 0.85.
 
 Nodes are distinct shingle sets; documents of equal sets are one node from the start. In every bucket nodes are
 compared with a hub; members that end up in other components than each other are compared again with further hubs,
@@ -11,6 +12,8 @@ as many as it takes, so all pairs of a bucket are enumerated only where nothing
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,11 +24,18 @@ from pyspark.sql.window import Window
 from emendata.llm.common import durable, few_or_shuffled, row_key, stored
 from emendata.llm.shingles import U, mixed, parts, shingle_sets
 
-BANDS, ROWS = 12, 4
+ROWS = 4
+MISSED = 3e-4
 SEED = 2024
 SALTS = 32
 
 
+def bands_for(percent: int) -> int:
+    """Bands in each collection, so that a pair at exactly ``percent`` shares no key with probability MISSED at most."""
+    apart = max(1 - (percent / 100) ** ROWS, MISSED**2)
+    return math.ceil(math.log(1 - math.sqrt(1 - MISSED)) / math.log(apart))
+
+
 def sketch_schema(doc_id: T.DataType) -> T.StructType:
     return T.StructType(
         [
@@ -47,14 +57,14 @@ def node_ids(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> list[by
     return [x.tobytes() for x in both]
 
 
-def band_values(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """2 * BANDS numbers per set: each mixes ROWS minhashes."""
+def band_values(flat: np.ndarray, begins: np.ndarray, bands: int) -> np.ndarray:
+    """2 * bands numbers per set: each mixes ROWS minhashes."""
     draw = np.random.default_rng(SEED)
-    factors = draw.integers(0, 1 << 63, 2 * BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
-    shifts = draw.integers(0, 1 << 63, 2 * BANDS * ROWS, dtype=np.uint64)
-    out = np.empty((len(begins), 2 * BANDS), U)
+    factors = draw.integers(0, 1 << 63, 2 * bands * ROWS, dtype=np.uint64) * U(2) + U(1)
+    shifts = draw.integers(0, 1 << 63, 2 * bands * ROWS, dtype=np.uint64)
+    out = np.empty((len(begins), 2 * bands), U)
     work = np.empty(len(flat), U)
-    for band in range(2 * BANDS):
+    for band in range(2 * bands):
         value = np.full(len(begins), U(band + 1))
         for k in range(band * ROWS, (band + 1) * ROWS):
             np.bitwise_xor(flat, shifts[k], out=work)
@@ -64,7 +74,7 @@ def band_values(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
     """Per row: doc_id, _row (key of id and text), n_shingles, node (null without words), first and second (bands)."""
     schema = sketch_schema(docs.schema["doc_id"].dataType)
 
@@ -74,17 +84,17 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = shingle_sets(texts, shingle)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = np.flatnonzero(sizes)
-                nodes, bands = [None] * len(sets), None
+                nodes, numbers = [None] * len(sets), None
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
                     begins = np.cumsum(sizes[full]) - sizes[full]
                     for i, node in zip(full.tolist(), node_ids(flat, begins, sizes[full]), strict=True):
                         nodes[i] = node
-                    bands = band_values(flat, begins)
+                    numbers = band_values(flat, begins, bands)
                 lists = []
-                for half in (slice(0, BANDS), slice(BANDS, 2 * BANDS)):
-                    ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
-                    values = np.empty(0, np.int64) if bands is None else np.ascontiguousarray(bands[:, half]).ravel()
+                for half in (slice(0, bands), slice(bands, 2 * bands)):
+                    ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
+                    values = np.empty(0, np.int64) if numbers is None else np.ascontiguousarray(numbers[:, half]).ravel()
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -260,7 +270,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> Data
         first, many = first + many, 4 * many
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, and _row.
 
     A document's set is its distinct shingles of ``shingle`` words, A-Z lower-cased; with fewer words the whole
@@ -270,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     the key of doc_id and text.
     """
     plain = docs.select("doc_id", "text")
-    rows = stored(sketches(plain, shingle))
+    rows = stored(sketches(plain, shingle, bands_for(percent)))
     nodes = rows.filter("node IS NOT NULL").groupBy(F.col("node").alias("digest")).agg(
         F.min("doc_id").alias("low_id"), F.min("_row").alias("_row"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")
     )
@@ -286,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_row")
 
 
-def one_of_each(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: those that go are looked up, the others do not move."""
     gone = durable(near_duplicates(docs, percent, shingle).filter("NOT kept").select(F.col("_row").alias("_gone")).distinct())
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

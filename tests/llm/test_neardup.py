@@ -1,7 +1,7 @@
 import random
 import re
 
-from emendata.llm.neardup import near_duplicates, one_of_each
+from emendata.llm.neardup import bands_for, near_duplicates, one_of_each
 from helpers import AWKWARD, corpus, frame
 
 
@@ -63,3 +63,18 @@ def test_null_ids_repeated_rows_and_columns(spark):
     ]
     assert one_of_each(docs).columns == docs.columns and one_of_each(docs).count() == 4
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_threshold_of_the_stage(spark):
+    r = random.Random(6)
+    texts = []
+    for changed in (9, 10, 11):  # of 96 shingles: similarities of 0.829, 0.811, 0.794
+        base = [f"b{r.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(base), " ".join(base[:-changed] + [f"c{i}" for i in range(changed)])]
+    docs = frame(spark, texts)
+    assert sorted(x.doc_id for x in one_of_each(docs).collect()) == [0, 2, 4, 5]
+    assert near_duplicates(docs, percent=85).filter("kept").count() == 6
+
+
+def test_bands_follow_the_threshold():
+    assert [bands_for(p) for p in (85, 80)] == [12, 17]
