@@ -249,11 +249,24 @@ _STATES = """
           FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')"""
 
 
+#: The same over the whole table, at an instant after every check: 500 hours after the last order, of 2001-08-01.
+NOW_ALL = 998_424_000
+_STATES_ALL = _STATES.removesuffix(" WHERE o_orderdate < TIMESTAMP '1996-01-01')") + ")"
+
+
 def states(spark, sf_dir):
+    return states_of(table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")))
+
+
+def states_all(spark, sf_dir):
+    return states_of(table(spark, sf_dir, "orders"))
+
+
+def states_of(orders):
     key, day = F.col("o_orderkey"), F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000
     day = day.cast("long")
     unseen = key % 7 == 0
-    return table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select(
+    return orders.select(
         key.alias("pos"),
         F.concat(F.lit("host"), (F.col("o_custkey") % 40).cast("string")).alias("host"),
         day.alias("first_seen"),
@@ -276,6 +289,9 @@ _PLAN = f"""WITH {_STATES},
     f AS (SELECT pos, host, CASE WHEN d = 'DUE' AND spent + turn > 120 THEN 'THROTTLED' ELSE d END AS decision FROM p)"""
 
 
+_PLAN_ALL = _PLAN.replace(_STATES, _STATES_ALL).replace(str(NOW), str(NOW_ALL))
+
+
 @query(_PLAN + " SELECT pos, host, decision FROM f")
 def recheck_plan(spark, sf_dir):
     return planning.RecheckPolicy().plan(states(spark, sf_dir), NOW).select("pos", "host", "decision")
@@ -294,6 +310,24 @@ def possibly_due(spark, sf_dir):
     return planning.RecheckPolicy().possibly_due(states(spark, sf_dir), NOW, doc="pos").select("pos", "last_checked")
 
 
+@query(_PLAN_ALL + " SELECT pos, host, decision FROM f")
+def recheck_plan_all(spark, sf_dir):
+    return planning.RecheckPolicy().plan(states_all(spark, sf_dir), NOW_ALL).select("pos", "host", "decision")
+
+
+@query(_PLAN_ALL + " SELECT decision, count(*) AS n FROM f GROUP BY 1")
+def recheck_report_all(spark, sf_dir):
+    return planning.RecheckPolicy().plan(states_all(spark, sf_dir), NOW_ALL).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_STATES_ALL}, x AS (SELECT *, greatest(first_seen, last_changed) AS event FROM e)
+    SELECT pos, last_checked FROM x WHERE last_checked < {NOW_ALL} - 600 AND (event > {NOW_ALL} - 604800 OR (version_count > 1 AND event > {NOW_ALL} - 4 * 604800)) ORDER BY last_checked, pos LIMIT 500"""
+)
+def possibly_due_all(spark, sf_dir):
+    return planning.RecheckPolicy().possibly_due(states_all(spark, sf_dir), NOW_ALL, doc="pos").select("pos", "last_checked")
+
+
 @query("SELECT page_id, row_number() OVER (PARTITION BY trim(url) ORDER BY page_id) > 1 AS duplicate FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url || ' ' FROM pages WHERE page_id % 2 = 0)")
 def first_link_wins(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

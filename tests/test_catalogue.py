@@ -38,6 +38,11 @@ def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_recheck_covers_all_orders(spark, db):
+    plan = catalogue.QUERIES["recheck_plan_all"](spark, SF).toPandas()
+    assert sorted(plan.pos) == sorted(r[0] for r in db.sql("SELECT o_orderkey FROM orders").fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
