@@ -429,7 +429,19 @@ def normalised_dates(spark, sf_dir):
        FROM (SELECT event_type, user_id FROM events WHERE NOT (event_type = 'error' AND user_id % 5 = 0) AND NOT (user_id % 15 = 0))) GROUP BY 1, 2"""
 )
 def fetch_verdicts(spark, sf_dir):
-    rows = observations(spark, sf_dir).filter("NOT (event_type = 'error' AND user_id % 5 = 0) AND NOT (user_id % 15 = 0)")
+    return verdict_counts(observations(spark, sf_dir).filter("NOT (event_type = 'error' AND user_id % 5 = 0) AND NOT (user_id % 15 = 0)"))
+
+
+@query(
+    """SELECT event_type, verdict, count(*) AS n FROM (SELECT event_type, CASE WHEN user_id % 5 = 0 THEN 'BLOCKED_BY_ROBOTS' WHEN event_type = 'error' THEN 'FAILED' WHEN user_id % 3 = 0 THEN 'SKIPPED_NOT_HTML' ELSE 'FETCHED' END AS verdict
+       FROM events) GROUP BY 1, 2"""
+)
+def fetch_verdicts_all(spark, sf_dir):
+    """Of several reasons the one that fetch_verdict asks for first holds: robots, then a failure, then the body."""
+    return verdict_counts(observations(spark, sf_dir))
+
+
+def verdict_counts(rows):
     body = F.when(F.col("user_id") % 3 == 0, F.unhex(F.lit("89504E470D0A"))).otherwise(F.encode(F.lit("<p>"), "UTF-8"))
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
     verdict = http.fetch_verdict(F.col("user_id") % 5 == 0, status, F.lit("Text/HTML; charset=x"), body)

@@ -43,6 +43,12 @@ def test_recheck_covers_all_orders(spark, db):
     assert sorted(plan.pos) == sorted(r[0] for r in db.sql("SELECT o_orderkey FROM orders").fetchall())
 
 
+def test_fetch_verdicts_cover_all_events(spark, db):
+    found = catalogue.QUERIES["fetch_verdicts_all"](spark, SF).toPandas()
+    assert found.n.sum() == db.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    assert "BLOCKED_BY_ROBOTS" in set(found[found.event_type == "error"].verdict)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
