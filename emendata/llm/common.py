@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,10 +34,16 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves on a local master; on a cluster it is an error, as executors
+    could not read each other's files there.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='emendata-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -49,26 +56,52 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of this process that are still there: path to its session.
+_folders: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read back: for wide rows that are read more than once."""
+    """Write as Parquet in the shared folder and read back: for wide rows that are read more than once.
+
+    The folder goes by ``discard``, or when the process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/emendata-{uuid.uuid4().hex}"
+    _folders[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _folders.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, which nothing reads any more."""
+    _remove(df.stored_at)
 
 
-#: Rows of a few dozen bytes that may be broadcast; counted before, and joined by a shuffle beyond.
-BROADCAST_ROWS = 250_000
+@atexit.register
+def discard_all() -> None:
+    """Delete all folders that ``stored`` has left: for the end of a job, when its results are written."""
+    for path in list(_folders):
+        _remove(path)
 
 
-def few_or_shuffled(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` (stored, narrow) marked for a join with texts: broadcast if it is counted small, else built by shuffle.
+def joined_by_shuffle(side: DataFrame) -> DataFrame:
+    """``side`` (narrow) marked for a join with texts: both are dealt by key, and the texts need no sort.
 
-    Either way the texts need no sort; with the broadcast they do not move at all.
+    One plan at every size: nothing is broadcast whose size follows the input.
     """
-    return F.broadcast(side) if side.count() <= most else side.hint("shuffle_hash")
+    return side.hint("shuffle_hash")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """One key for rows of equal id and text. Rows that repeat both are one document to the operators that use it."""
-    return F.xxhash64(doc_id.cast("string"), text)
+    """One key of 128 bits for rows of equal id and text. Rows that repeat both are one document to the operators that use it."""
+    parts = [F.xxhash64(F.lit(i), doc_id.isNull(), F.coalesce(doc_id.cast("string"), F.lit("")), text.isNull(), text) for i in (1, 2)]
+    return F.struct(parts[0].alias("a"), parts[1].alias("b"))

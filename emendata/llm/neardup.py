@@ -5,9 +5,11 @@ the second makes one table key, so B^2 keys cost only 2 * B bands of minhashes.
 with probability 1 - (1 - (1 - s^ROWS)^B)^2. B is the least that keeps this within MISSED at the threshold: 17 at
 0.80, 12 at 0.85.
 
-Nodes are distinct shingle sets; documents of equal sets are one node from the start. In every bucket nodes are
-compared with a hub; members that end up in other components than each other are compared again with further hubs,
-as many as it takes, so all pairs of a bucket are enumerated only where nothing links them and nothing rules them out.
+Nodes are distinct shingle sets; documents of equal sets are one node from the start. Every bucket has its most
+central member for a hub, and all members are compared with it. Where a bucket still holds more than one component,
+the members of all such buckets of one hub are its star. A star is dealt into blocks of bounded size, and every two
+blocks of it meet once in one task, each set carried once: there a prefix filter and the components found so far leave
+few pairs, which are compared on full sets, and only links that join two components leave the task.
 """
 
 from __future__ import annotations
@@ -19,15 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from emendata.llm.common import durable, few_or_shuffled, row_key, stored
+from emendata.llm.common import discard, durable, joined_by_shuffle, row_key, stored
 from emendata.llm.shingles import U, mixed, parts, shingle_sets
 
 ROWS = 4
 MISSED = 3e-4
 SEED = 2024
-SALTS = 32
+#: Bytes of sets in a block of a star; a task holds two blocks.
+BLOCK_BYTES = 8 << 20
+#: Candidates of one set that are compared at a time; between, components are looked up again.
+AT_ONCE = 512
+
+
+KEY = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
 
 
 def bands_for(percent: int) -> int:
@@ -40,7 +47,7 @@ def sketch_schema(doc_id: T.DataType) -> T.StructType:
     return T.StructType(
         [
             T.StructField("doc_id", doc_id),
-            T.StructField("_row", T.LongType()),
+            T.StructField("_row", KEY),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("node", T.BinaryType()),
             T.StructField("first", T.ArrayType(T.LongType())),
@@ -129,36 +136,11 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return durable(members.join(weights, F.col("node") == F.col("_node")).select("key", "node", "n", "w"))
 
 
-def hubs(members: DataFrame, first: int, many: int) -> DataFrame:
-    """Of every bucket the members of rank ``first`` + 1 to ``first`` + ``many`` by weight, taken from salted parts first."""
-    out = [F.col("key").alias("_key"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("low").alias("hub_low"), F.col("high").alias("hub_high")]
-    if (first, many) == (0, 1):
-        best = members.groupBy("key").agg(F.min(F.struct("w", "node", "n", "root", "low", "high")).alias("m"))
-        return durable(best.select("key", "m.*").select(*out))
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
-    part = Window.partitionBy("key", salt).orderBy("w", "node")
-    some = members.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= first + many)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("w", "node"))
-    return durable(some.withColumn("_r", rank).filter((F.col("_r") > first) & (F.col("_r") <= first + many)).select(*out))
-
-
-def may_link(percent: int) -> Column:
-    """Whether bounds on the distances to the bucket's first hub leave room for a link: distances differ by its length at most."""
-    reach = 1 - percent / 100 + 1e-9
-    return (F.col("low") - F.col("hub_high") <= reach) & (F.col("hub_low") - F.col("high") <= reach)
-
-
-def measured(members: DataFrame, top: DataFrame, done: DataFrame) -> DataFrame:
-    """Members with low and high bounds of their distance to the bucket's hub: exact where the pair was compared."""
-    both = members.join(top.select("_key", "hub", "hub_n"), F.col("key") == F.col("_key"))
-    both = both.withColumn("_a", F.least("node", "hub")).withColumn("_b", F.greatest("node", "hub"))
-    found = both.join(done.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "common"), ["_a", "_b"], "left")
-    exact = 1 - F.col("common") / (F.col("n") + F.col("hub_n") - F.col("common"))
-    least = 1 - F.least("n", "hub_n") / F.greatest("n", "hub_n")
-    own = F.col("node") == F.col("hub")
-    low = F.when(own, 0.0).otherwise(F.coalesce(exact, least))
-    high = F.when(own, 0.0).otherwise(F.coalesce(exact, F.lit(1.0)))
-    return durable(found.select("key", "node", "n", "w", low.alias("low"), high.alias("high")))
+def with_hubs(members: DataFrame) -> DataFrame:
+    """key, node, n, hub, hub_n: the hub of a bucket is the member of most weight, the same in most buckets of one group."""
+    best = members.groupBy("key").agg(F.min(F.struct("w", "node", "n")).alias("m"))
+    best = durable(best.select(F.col("key").alias("_key"), F.col("m.node").alias("hub"), F.col("m.n").alias("hub_n")))
+    return durable(members.join(best, F.col("key") == F.col("_key")).select("key", "node", "n", "hub", "hub_n"))
 
 
 def size_fits(a: str, b: str, percent: int) -> Column:
@@ -166,29 +148,150 @@ def size_fits(a: str, b: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, and linked (100 * intersection >= percent * union) for pairs of nodes, on the whole sets."""
-    schema = "a long, b long, common long, linked boolean"
+    """a and b of those pairs of nodes for which 100 * intersection >= percent * union, on the whole sets."""
 
     def run(batches):
         for batch in batches:
-            common, linked = [], []
+            linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum()) if len(q) else 0
-                common.append(both)
+                both = common(p, q)
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())],
-                names=["a", "b", "common", "linked"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return durable(two.select("a", "b", "set_a", "set_b").mapInArrow(run, schema))
+    return durable(two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
+
+
+def common(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return 0
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int((q[at] == p).sum())
+
+
+def joining_links(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places of linked pairs that join all components which links among ``sets`` join; exact.
+
+    ``roots`` are the components known before. Where ``side`` has both 0 and 1, only pairs of the two sides are looked
+    for. Elements are ordered from the rarest. Of two sets with 100 * intersection >= percent * union the intersection
+    has percent % of each at least, so their first n - ceil(n * percent / 100) + 1 elements meet; what does not meet
+    there is not linked. What does, and is not in one component yet, is compared in full.
+    """
+    k = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, k)
+    order = np.argsort(sizes, kind="stable")
+    owners = np.repeat(np.arange(k), sizes[order])
+    _, codes, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    tokens = rank[codes]
+    alone = int((counts == 1).sum())  # the first so many elements belong to one set only
+    by_set = np.lexsort((tokens, owners))
+    tokens = tokens[by_set]
+    n = sizes[order]
+    begin = np.cumsum(n) - n
+    prefix = n - (n * percent + 99) // 100 + 1
+    heads = (np.arange(len(tokens)) - begin[owners] < prefix[owners]) & (tokens >= alone)
+    # Lists of the sets that have an element in their prefix, from small sets to large.
+    listed, list_of = owners[heads], tokens[heads]
+    by_token = np.argsort(list_of, kind="stable")
+    listed = listed[by_token]
+    starts = np.searchsorted(list_of[by_token], np.arange(len(counts) + 1))
+    component = np.unique(roots[order], return_inverse=True)[1]
+    sides = side[order]
+    both_sides = len(np.unique(side)) > 1
+    head_begin = np.searchsorted(owners[heads], np.arange(k + 1))
+    mark, seen, links = np.zeros(len(counts), bool), np.zeros(k, bool), []
+    for x in range(1, k):
+        own = list_of[head_begin[x] : head_begin[x + 1]]
+        if not len(own):
+            continue
+        seen[:x] = False
+        for t in own.tolist():
+            seen[listed[starts[t] : starts[t + 1]]] = True
+        near = np.flatnonzero(seen[:x])
+        near = near[100 * n[near] >= percent * n[x]]
+        if both_sides:
+            near = near[sides[near] != sides[x]]
+        near = near[component[near] != component[x]][::-1]  # the most alike in size first
+        if not len(near):
+            continue
+        mine = tokens[begin[x] : begin[x] + n[x]]
+        mark[mine] = True
+        while len(near):
+            some, near = near[:AT_ONCE], near[AT_ONCE:]
+            ends = np.cumsum(n[some])
+            at = np.arange(ends[-1]) + np.repeat(begin[some] - (ends - n[some]), n[some])
+            shared = np.add.reduceat(mark[tokens[at]].astype(np.int64), ends - n[some])
+            for y in some[100 * shared >= percent * (n[x] + n[some] - shared)].tolist():
+                if component[y] != component[x]:
+                    links.append((int(order[x]), int(order[y])))
+                    component[component == component[y]] = component[x]
+            near = near[component[near] != component[x]]
+        mark[mine] = False
+    return links
+
+
+def blocks_of(stars: DataFrame) -> DataFrame:
+    """Rows of ``stars`` (hub, node, n, root) with the two blocks (lo, hi) of their star that meet in a task, and side.
+
+    Members of the component with most of them in the star are dealt into blocks of their own, which need not meet
+    each other. So a star that is all but one component has as many rows as members, however large it is.
+    """
+    per_root = stars.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = per_root.groupBy(F.col("hub").alias("_hub")).agg(F.max(F.struct("c", "s", "root")).alias("m"), F.sum("s").alias("s"))
+    parts = lambda shingles: F.ceil(8 * shingles / F.lit(BLOCK_BYTES)).cast("int")
+    whole = whole.select("_hub", F.col("m.root").alias("_main"), parts(F.col("m.s")).alias("_mains"), parts(F.col("s") - F.col("m.s")).alias("_others"))
+    dealt = stars.join(durable(whole.filter("_others > 0")), F.col("hub") == F.col("_hub"))
+    main = F.col("root") == F.col("_main")
+    salt = F.xxhash64(F.lit(7), "node")
+    block = F.when(main, F.pmod(salt, F.col("_mains"))).otherwise(F.col("_mains") + F.pmod(salt, F.col("_others"))).cast("int")
+    # A main block meets the others only; another block meets all.
+    meets = F.sequence(F.when(main, F.col("_mains")).otherwise(F.lit(0)), F.col("_mains") + F.col("_others") - 1)
+    met = dealt.withColumn("_block", block).withColumn("_with", F.explode(meets))
+    lo, hi = F.least("_block", "_with"), F.greatest("_block", "_with")
+    return met.select("hub", lo.alias("lo"), hi.alias("hi"), (F.col("_block") == hi).cast("int").alias("side"), "node", "root")
+
+
+def star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join the components of each star; every two blocks are compared in one task."""
+    schema = "a long, b long"
+
+    def run(batches):
+        group, held = None, []
+
+        def close():
+            nodes, roots, side, found = zip(*held, strict=True)
+            links = joining_links(found, np.array(roots), np.array(side), percent)
+            return [(nodes[x], nodes[y]) for x, y in links]
+
+        def sent(links):
+            columns = list(zip(*links, strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        for batch in batches:
+            done = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+            for i, (hub, lo, hi, side, node, root) in enumerate(keys):
+                if (hub, lo, hi) != group:
+                    if held:
+                        done += close()
+                    group, held = (hub, lo, hi), []
+                held.append((node, root, side, np.frombuffer(batch.column(6)[i].as_py(), U)))
+            yield sent(done)
+        if held:
+            yield sent(close())
+
+    task = ["hub", "lo", "hi"]
+    rows = blocks_of(stars).join(sets, "node").select(*task, "side", "node", "root", "set")
+    tasks = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that heavy tasks are not merged
+    return durable(rows.repartition(tasks, *task).sortWithinPartitions(*task).mapInArrow(run, schema))
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -203,7 +306,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 )
 
     rows = docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("_row"))
-    rows = rows.join(few_or_shuffled(wanted), F.col("_row") == F.col("_wanted")).select("node", "text")
+    rows = rows.join(joined_by_shuffle(wanted), F.col("_row") == F.col("_wanted")).select("node", "text")
     return stored(rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
 
 
@@ -227,47 +330,33 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their root, a node without links being its own."""
+def open_stars(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """hub, node, n, root of the members of all buckets in which components meet that their hub has not joined."""
     own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    return members.join(own, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
-
-
-def mixed_buckets(rooted: DataFrame, hubs_done: int) -> DataFrame:
-    """The members of buckets in which more than one component meets and not all but one member have been hubs."""
+    rooted = members.join(own, F.col("node") == F.col("_node"), "left").select("key", "hub", "node", "n", F.coalesce("_root", "node").alias("root"))
+    rooted = durable(rooted)
     spread = rooted.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_c"))
-    spread = durable(spread.filter((F.col("_low") != F.col("_high")) & (F.col("_c") > hubs_done + 1)).select("_key"))
-    return durable(rooted.join(spread, F.col("key") == F.col("_key")).drop("_key"))
+    spread = durable(spread.filter((F.col("_low") != F.col("_high")) & (F.col("_c") > 2)).select("_key"))
+    stars = rooted.join(spread, F.col("key") == F.col("_key")).select("hub", "node", "n", "root")
+    return durable(stars.distinct())
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> DataFrame:
     """node and root for all nodes that are linked: components of verified links.
 
-    Every pair of a bucket is compared, unless both are in one component by then, their sizes or their distances to
-    the bucket's hub rule a link out, or another bucket had the pair. Hubs are taken in rounds, four times as many in
-    each, until no bucket has a pair left.
+    Every pair of a bucket is compared, unless it is in one component by then, or sizes or prefixes rule a link out.
     """
     members = bucket_members(nodes)
-    in_buckets = members.select("node").distinct()
-    wanted = nodes.join(in_buckets, "node", "left_semi").select("node", F.col("_row").alias("_wanted"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("_row").alias("_wanted"))
     sets = set_table(docs, durable(wanted), shingle)
-    open_ = members.withColumn("root", F.col("node")).withColumn("low", F.lit(0.0)).withColumn("high", F.lit(1.0))
-    done, many, first = None, 1, 0
-    while True:
-        top = hubs(open_, first, many)
-        fits = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("hub_root")) & size_fits("n", "hub_n", percent) & may_link(percent)
-        pairs = open_.join(top, fits)
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = verified(durable(pairs), sets, percent)
-        done = checked if done is None else durable(done.unionAll(checked))
-        roots = components(done.filter("linked").select("a", "b"))
-        left = mixed_buckets(labelled(open_.drop("root"), roots), first + many)
-        if left.isEmpty():
-            return roots
-        open_ = left if first else durable(labelled(measured(left, top, done), roots))
-        first, many = first + many, 4 * many
+    members = with_hubs(members)
+    pairs = members.filter((F.col("node") != F.col("hub")) & size_fits("n", "hub_n", percent))
+    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    to_hubs = verified(durable(pairs), sets, percent)
+    roots = durable(components(to_hubs))
+    more = star_links(open_stars(members, roots), sets, percent)
+    discard(sets)
+    return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
@@ -277,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     sequence is one. Documents are linked if 100 * intersection >= ``percent`` * union. Null, empty and wordless
     texts have no set and are linked with nothing. kept is whether doc_id is component_id; a null doc_id is kept only
     in a component of null ids. Rows that repeat a doc_id are nodes by their texts and share ids as they come. _row is
-    the key of doc_id and text.
+    the key of doc_id and text, _root names the component (null without words).
     """
     plain = docs.select("doc_id", "text")
     rows = stored(sketches(plain, shingle, bands_for(percent)))
@@ -290,16 +379,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     rooted = nodes.select("digest", "node", "low_id").join(roots, "node", "left").select("digest", "low_id", F.coalesce("root", "node").alias("root"))
     rooted = durable(rooted)
     lowest = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("low_id").alias("component_id"))
-    ids = durable(rooted.join(lowest, F.col("root") == F.col("_root")).select(F.col("digest").alias("_node"), "component_id"))
+    ids = durable(rooted.join(lowest, F.col("root") == F.col("_root")).select(F.col("digest").alias("_node"), "component_id", "root"))
     out = rows.select("doc_id", "_row", "n_shingles", "node").join(ids, F.col("node") == F.col("_node"), "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_row")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_row", F.col("root").alias("_root"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept: those that go are looked up, the others do not move."""
-    gone = durable(near_duplicates(docs, percent, shingle).filter("NOT kept").select(F.col("_row").alias("_gone")).distinct())
+    """The rows of ``docs``, all columns, less all but one row of each component.
+
+    The row of the smallest doc_id stays (null last; of equal ids the smaller key of id and text), once if it is
+    repeated. Texts without words are in no component and stay, those that repeat an id and text once.
+    """
+    found = durable(near_duplicates(docs, percent, shingle).select("doc_id", "_row", "_root"))
+    leaders = found.filter("_root IS NOT NULL").groupBy(F.col("_root").alias("_of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
+    leaders = leaders.select("_of", F.col("m._row").alias("_leader"))
+    marks = found.join(leaders, F.col("_root") == F.col("_of"), "left").groupBy(F.col("_row").alias("_mark"))
+    marks = marks.agg(F.max(F.coalesce(F.col("_row") != F.col("_leader"), F.lit(False))).alias("_gone"), F.count("*").alias("_times"))
+    marks = durable(marks.filter("_gone OR _times > 1"))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_row"), rest.alias("_rest"))
-    kept = rows.join(few_or_shuffled(gone), F.col("_row") == F.col("_gone"), "left_anti")
+    rows = rows.join(joined_by_shuffle(marks), F.col("_row") == F.col("_mark"), "left")
+    repeated = rows.filter("NOT _gone").dropDuplicates(["_row"])
+    kept = rows.filter("_mark IS NULL").select("_rest").unionByName(repeated.select("_rest"))
     return kept.select(*[F.col("_rest").getField(c).alias(c) for c in docs.columns])

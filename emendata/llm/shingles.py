@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-BACK = U(pow(int(BASE), -1, 1 << 64))
 JOIN = U(0xD6E8FEB86659FD93)
-SPACES = np.zeros(256, bool)
-SPACES[[0x20, *range(0x09, 0x0E)]] = True
 SLICE_BYTES = 4 << 20
+#: Distinct words whose numbers one worker remembers before it starts over; bounds memory, never results.
+REMEMBERED = 2_000_000
+_numbers: dict[str, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -25,41 +25,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word, A-Z lower-cased, and the bounds of each text among them. Null texts have no words."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    if not len(data):
-        return np.empty(0, U), np.zeros(len(texts) + 1, np.int64)
-    gap = SPACES[data]
-    begins = ~gap
-    begins[1:] &= gap[:-1]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
-    begins[edges] = ~gap[edges]
-    starts = np.flatnonzero(begins)
-    ends = ~gap
-    ends[:-1] &= gap[1:]
-    ends[edges - 1] = ~gap[edges - 1]
-    stops = np.flatnonzero(ends) + 1
-    low = data.astype(U)
-    low[(data >= 65) & (data <= 90)] += U(32)
-    power = np.empty(len(data), U)
-    power[0] = 1
-    power[1:] = BASE
-    np.multiply.accumulate(power, out=power)
-    low += U(1)
-    low *= power
-    running = np.empty(len(data) + 1, U)
-    running[0] = 0
-    np.cumsum(low, out=running[1:])
-    back = np.empty(len(data), U)
-    back[0] = 1
-    back[1:] = BACK
-    np.multiply.accumulate(back, out=back)
-    value = (running[stops] - running[starts]) * back[starts]
-    value = mixed(value + (stops - starts).astype(U) * JOIN)
-    return value, np.searchsorted(starts, offsets)
+    """A number for each word, A-Z lower-cased, and the bounds of each text among them. Null texts have no words.
+
+    A word's number is the 64-bit XXH3 hash of its bytes: a hash of the whole word, without structure that would make
+    two words of some pattern meet.
+    """
+    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(low)
+    coded = split.values.dictionary_encode()
+    if len(_numbers) > REMEMBERED:
+        _numbers.clear()
+    table = np.empty(len(coded.dictionary), U)
+    words = coded.dictionary.to_pylist()
+    for i, word in enumerate(words):
+        number = _numbers.get(word)
+        if number is None:
+            number = _numbers[word] = xxhash.xxh3_64_intdigest(word)
+        table[i] = number
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    bounds = bounds - bounds[0]
+    if "" in words:  # white space at either end of a text leaves an empty piece
+        real = codes != words.index("")
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        codes = codes[real]
+    return table[codes], bounds
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
