@@ -27,6 +27,12 @@ REMEMBERED = 1_000_000
 JOINED = 2_000
 
 
+def lean(word: str) -> bool:
+    """Whether lower-casing is all that the tokenizer's normaliser does to a word: Latin letters, but for the dotted I,
+    whose small form has two code points."""
+    return word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)
+
+
 class Encoder:
     """Ids of texts by a tokenizer that drops white space, word by word, each distinct word encoded once.
 
@@ -77,15 +83,15 @@ class Encoder:
 
     def known(self, words: list[str]) -> np.ndarray:
         """The place of each word in the store."""
-        keys = [w.lower() if w.isascii() or (max(w) < "\u0250" and "\u0130" not in w) else w for w in words]
+        keys = [w.lower() if lean(w) else w for w in words]
         unseen = list(dict.fromkeys(k for k in keys if k not in self.places))
         if len(self.places) + len(unseen) > REMEMBERED:
             self.forget()
             unseen = list(dict.fromkeys(k for k in keys if k))
-        plain = [k for k in unseen if k.isascii() or max(k) < "\u0250"]
+        plain = [k for k in unseen if lean(k)]
         self.learn(plain, self.lean)
         if len(plain) < len(unseen):
-            self.learn([k for k in unseen if not (k.isascii() or max(k) < "\u0250")], self.tokenizer)
+            self.learn([k for k in unseen if not lean(k)], self.tokenizer)
         return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +161,10 @@ def tokenized(docs: DataFrame, vocabulary_path: str, end_id: int, doc_id: str, t
                 whole[keep], whole[ends - 1] = ids, end_id
                 width = whole.itemsize
                 # The width is told by the length: ids are 2 bytes where the value is doc_tokens * 2 long.
-                limits = np.concatenate([[0], ends * width]).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(limits), pa.py_buffer(whole)])
+                limits = np.concatenate([[0], ends * width])
+                if limits[-1] >= 1 << 31:
+                    raise ValueError("a text of 2 GB of ids is more than one row can hold")
+                data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(whole)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(counts)),
