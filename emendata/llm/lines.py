@@ -1,12 +1,18 @@
-"""Line dedup: repeated runs of lines found by prefix doubling, later copies deleted.
+"""Line dedup: a suffix array over line identifiers by distributed prefix doubling, later copies of repeated runs deleted.
 
-Lines get identifiers. Level k names every run of 2^k lines by the names of its halves, so equal names are the
-buckets of the suffix array after k rounds of prefix doubling; the order inside and between buckets is not needed
-and not computed. Descending through the levels extends each position's run as long as its bucket still holds an
-earlier position: the buckets passed are the longest-common-prefix intervals, and what is reached is the longest run
-at that position of which there is an earlier copy. Runs of enough words are deleted; the first copy stays.
+Only lines that occur twice can be part of a repeated run; between other lines they form stretches, and a suffix goes
+from a line to the end of its stretch. Ranks start as the sort order of the identifiers. Each round sorts the pairs
+(rank, rank of the suffix moved by 2^k lines) inside their buckets and so doubles the lines that the ranks order by.
+A bucket is closed when it holds one suffix, when its suffixes end, or when they agree in ``min_words`` words: the
+order beyond is not needed to tell what is repeated. Neighbours of the array get their longest common prefix from the
+ranks of the rounds, from the longest step to the shortest. Where it holds ``min_words`` words the neighbours are in
+one LCP interval; the first place of an interval stays, and at the others the run of ``min_words`` words is a later copy.
 
-Positions are only kept while their run occurs twice, so the tables shrink from level to level. Names have 128 bits.
+That finds each repeated run but for the lines that follow its last ``min_words`` words. The same array over the lines
+read backwards finds the runs that end in them, and together they are all lines of all maximal repeated runs: a line of
+such a run lies in the shortest run of ``min_words`` words from its start, or ends one that lies inside it.
+
+Every step is a join or a sum over rows (position, rank); no array holds more than one document's lines.
 """
 
 from __future__ import annotations
@@ -15,148 +21,200 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emendata.llm.common import durable, few_or_shuffled, row_key, word_count
+from emendata.llm.common import durable, joined_by_shuffle, row_key, word_count
 
 MIN_WORDS = 50
+BEFORE = (Window.unboundedPreceding, -1)
 
 
-def name_of(*parts: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
-
+def prefix_sums(rows: DataFrame, order: list[Column], value: Column) -> DataFrame:
+    """``rows`` with _before, the sum of ``value`` over all rows that stand before in ``order``.
 
-def buckets(named: DataFrame, name: str = "n") -> DataFrame:
-    """_n, first: the first place of every bucket that holds two or more.
-
-    Summed before the shuffle and stored, so that one name may hold any share of the positions: the join to it can be
-    split.
+    Rows are dealt by range, so that no key and no prefix of the order has to fit one task; the sums of the ranges, one
+    number per partition, are summed up by themselves.
     """
-    groups = named.groupBy(F.col(name).alias("_n")).agg(F.min("place").alias("first"), F.max("place").alias("_last"))
-    return durable(groups.filter("first < _last").drop("_last"))
+    dealt = rows.withColumn("_v", value.cast("long")).repartitionByRange(*order)
+    dealt = durable(dealt.withColumn("_p", F.spark_partition_id()))
+    totals = dealt.groupBy("_p").agg(F.sum("_v").alias("_t"))
+    bases = totals.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(*BEFORE)), F.lit(0)).alias("_base"))
+    within = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(*BEFORE))
+    out = dealt.join(F.broadcast(bases), "_p").withColumn("_before", F.col("_base") + F.coalesce(within, F.lit(0)))
+    return out.drop("_p", "_v", "_base")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Lines of the distinct (doc_id, text): _k (key of the document), pos, place (order over all lines), n, before, upto (words)."""
-    body = F.split("text", "\n", -1)
-    rows = docs.select(
-        row_key(F.col("doc_id"), F.col("text")).alias("_k"),
-        "doc_id",
-        F.transform(body, lambda x: F.struct(name_of(x).alias("n"), word_count(x).alias("w"))).alias("lines"),
-    ).filter("lines IS NOT NULL")
-    rows = rows.dropDuplicates(["_k"])
-    lines = rows.select("_k", "doc_id", F.posexplode("lines").alias("pos", "line"))
-    order = Window.partitionBy("_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("upto", F.sum("line.w").over(order))
-    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_k").alias("k"), F.col("pos").alias("p"))
-    return lines.select("_k", "pos", place.alias("place"), F.col("line.n").alias("n"), (F.col("upto") - F.col("line.w")).alias("before"), "upto")
+    """doc_id, k1, k2 (key of the document), pos, a, b (identifier of the line), w (its words), for all lines."""
+    line = lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b"), word_count(x).cast("int").alias("w"))
+    key = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.filter("text IS NOT NULL").select("doc_id", key.alias("_k"), F.transform(F.split("text", "\n", -1), line).alias("_l"))
+    return rows.select("doc_id", F.col("_k.a").alias("k1"), F.col("_k.b").alias("k2"), F.posexplode("_l").alias("pos", "_l")).select("doc_id", "k1", "k2", "pos", "_l.*")
 
 
-def doubled(repeated: DataFrame) -> DataFrame:
-    """_k, pos, k, place, n of every run of 2^k lines, k from 1, that lies in a stretch of repeated lines.
+def repeated_lines(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """The lines that occur twice, in stretches of ``min_words`` words or more; and base, k1, k2 of their documents.
 
-    A stretch names all its runs by itself: level k + 1 is level k zipped with level k moved by 2^k.
+    Lines: g (place: lines are numbered through by doc_id, null last, then key, then position), base (place of the
+    document's first line), rank (of the identifier), w, low and high (g of the stretch's ends), v (words before it in
+    the stretch), total (words of the stretch). Documents that repeat are one.
+    """
+    counts = durable(lines.groupBy("a", "b").agg(F.count("*").alias("_c")).filter("_c > 1"))
+    ranks = prefix_sums(counts, [F.col("a"), F.col("b")], F.col("_c"))
+    ranks = durable(ranks.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_before").alias("rank")))
+    found = lines.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    found = durable(found.select("doc_id", "k1", "k2", "pos", "w", "rank").dropDuplicates(["k1", "k2", "pos"]))
+    # Stretches are the islands of positions without a gap.
+    own = Window.partitionBy("k1", "k2").orderBy("pos")
+    found = found.withColumn("_s", F.col("pos") - F.row_number().over(own))
+    stretch = Window.partitionBy("k1", "k2", "_s")
+    found = found.select(
+        "doc_id", "k1", "k2", "pos", "w", "rank",
+        F.min("pos").over(stretch).alias("low"),
+        F.max("pos").over(stretch).alias("high"),
+        F.sum("w").over(stretch).alias("total"),
+        F.coalesce(F.sum("w").over(stretch.orderBy("pos").rowsBetween(*BEFORE)), F.lit(0)).alias("v"),
+    ).filter(F.col("total") >= min_words)
+    found = durable(found)
+    docs = found.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), (F.max("pos") + 1).alias("_n"))
+    bases = prefix_sums(docs, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2")], F.col("_n"))
+    bases = durable(bases.select(F.col("_before").alias("base"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
+    placed = found.join(bases, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    at = lambda c: (F.col("base") + F.col(c)).alias
+    placed = placed.select(at("pos")("g"), "base", "rank", "w", at("low")("low"), at("high")("high"), "v", "total")
+    return durable(placed), bases
+
+
+def suffixes(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
+    """The state before the first round: s, g, base, end, m, rank, done, open.
+
+    s counts lines in reading direction, end is the s of the stretch's last line, m how many lines from here hold
+    ``min_words`` words (null: the stretch has not so many), done whether the ordered lines do.
     """
-    order = Window.partitionBy("_k").orderBy("pos")
-    rows = repeated.withColumn("_s", F.col("pos") - F.row_number().over(order))
-    parts = rows.groupBy("_k", "_s").agg(F.min("place").alias("start"), F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("a")).filter(F.size("a") > 1)
-
-    def step(levels: Column, k: Column) -> Column:
-        last = F.element_at(levels, -1)
-        moved = F.slice(last, F.pow(F.lit(2), k).cast("int") + 1, F.size(last))
-        pair = lambda x, y: F.when(y.isNotNull() & x.isNotNull(), name_of(x, y))
-        return F.concat(levels, F.array(F.zip_with(last, moved, pair)))
-
-    # Levels beyond the first hold nulls at their ends, so the first one has to have the type of one that may.
-    names = F.transform("a", lambda x: F.when(x["pos"] >= 0, x["n"]))
-    tops = F.sequence(F.lit(0), F.floor(F.log2(F.size("a"))).cast("int") - 1)
-    levels = parts.select("_k", "start", F.aggregate(tops, F.array(names), step).alias("levels"))
-    runs = levels.select("_k", "start", F.posexplode("levels").alias("k", "names")).filter("k > 0")
-    runs = runs.select("_k", "start", "k", F.posexplode("names").alias("i", "n")).filter("n IS NOT NULL")
-    pos = F.col("start.p") + F.col("i")
-    place = F.struct(F.col("start.z").alias("z"), F.col("start.d").alias("d"), F.col("start.k").alias("k"), pos.alias("p"))
-    return runs.select("_k", pos.alias("pos"), "k", place.alias("place"), "n")
-
-
-def earlier_runs(lines: DataFrame) -> DataFrame:
-    """_k, pos, len: for every position the longest run of which an equal one starts at an earlier place."""
-    single = lines.select("_k", "pos", "place", "n")
-    single = durable(single.join(buckets(single), F.col("n") == F.col("_n")).drop("_n"))
-    runs = durable(doubled(single))
-    runs = runs.join(buckets(runs), F.col("n") == F.col("_n")).drop("_n")
-    levels = durable(runs.unionByName(single.withColumn("k", F.lit(0))).withColumn("step", F.pow(F.lit(2), F.col("k")).cast("int")))
-    # A position enters the descent at the longest power of two of which it has an earlier copy, in the bucket of
-    # that run. A shadow is the first position of a bucket, which stays for the others to be compared with; its own
-    # run is another row.
-    later = levels.filter(F.col("first") < F.col("place"))
-    own = later.groupBy("_k", "pos").agg(F.max(F.struct("k", "step", "place", "n", "first")).alias("m")).select("_k", "pos", "m.*")
-    own = durable(own)
-    firsts = own.groupBy("k", "n", "step").agg(F.min("first").alias("place"))
-    shadows = firsts.select(F.col("place.k").alias("_k"), F.col("place.p").alias("pos"), "k", "step", "place", "n", F.lit(True).alias("shadow"))
-    enter = durable(own.drop("first").withColumn("shadow", F.lit(False)).unionByName(shadows).withColumnRenamed("step", "len"))
-    top = enter.agg(F.max("k")).first()[0]
-    state = enter.filter(F.col("k") == (0 if top is None else top)).drop("k")
-    for k in range((top or 0) - 1, -1, -1):
-        state = durable(extended(state, levels.filter(F.col("k") == k)).unionByName(enter.filter(F.col("k") == k).drop("k")))
-    return state.filter("NOT shadow").select("_k", "pos", "len")
-
-
-def extended(state: DataFrame, level: DataFrame) -> DataFrame:
-    """The state after the attempt to lengthen every run by a run of ``level``, in which all have one length."""
-    ahead = level.select(F.col("_k").alias("_k2"), F.col("pos").alias("_p2"), F.col("n").alias("_n2"), "step")
-    tried = state.join(ahead, (F.col("_k") == F.col("_k2")) & (F.col("pos") + F.col("len") == F.col("_p2")), "left")
-    new = F.when(F.col("_n2").isNotNull(), name_of(F.col("n"), F.col("_n2")))
-    tried = durable(tried.select("_k", "pos", "place", "n", "len", "shadow", "step", new.alias("_new")))
-    groups = buckets(tried.filter("_new IS NOT NULL"), "_new")
-    met = tried.join(groups, F.col("_new") == F.col("_n"), "left")
-    longer = F.struct(F.col("_new").alias("n"), (F.col("len") + F.col("step")).alias("len"), F.lit(True).alias("shadow"))
-    same = F.struct("n", "len", "shadow")
-    moved = F.struct(F.col("_new").alias("n"), (F.col("len") + F.col("step")).alias("len"), "shadow")
-    # The first of a bucket stays where it is and leaves a shadow in the bucket; the others move on.
-    after = F.when(F.col("first").isNull(), F.array(same)).when(F.col("first") < F.col("place"), F.array(moved)).otherwise(F.array(same, longer))
-    return met.select("_k", "pos", "place", F.explode(after).alias("x")).select("_k", "pos", "place", "x.*")
+    if backwards:
+        s, end, v = -F.col("g"), -F.col("low"), F.col("total") - F.col("v") - F.col("w")
+    else:
+        s, end, v = F.col("g"), F.col("high"), F.col("v")
+    rows = lines.select(s.alias("s"), "g", "base", end.alias("end"), v.alias("v"), "w", "rank")
+    # The line that holds the last of the words is the last with fewer than min_words words before it.
+    ahead = Window.partitionBy("end").orderBy("v").rangeBetween(0, min_words - 1)
+    last, held = F.max("s").over(ahead), F.max(F.col("v") + F.col("w")).over(ahead)
+    rows = rows.withColumn("m", F.when(held - F.col("v") >= min_words, last - F.col("s") + 1))
+    done = F.coalesce(F.col("m") <= 1, F.lit(False))
+    return durable(rows.select("s", "g", "base", "end", "m", "rank", done.alias("done"), (~done).alias("open")))
+
+
+def doubled(state: DataFrame, step: int) -> DataFrame:
+    """The state after ordering by twice ``step`` lines."""
+    second = state.select(F.col("s").alias("_s"), F.col("rank").alias("_r"), F.col("done").alias("_d"))
+    ahead = (F.col("s") + step == F.col("_s")) & (F.col("s") + step <= F.col("end"))
+    both = state.filter("open").join(second, ahead, "left").withColumn("_r", F.coalesce("_r", F.lit(-1))).drop("_s")
+    both = durable(both)
+    pairs = both.groupBy("rank", "_r").agg(F.count("*").alias("_c"))
+    pairs = durable(prefix_sums(durable(pairs), [F.col("rank"), F.col("_r")], F.col("_c")))
+    first = pairs.groupBy(F.col("rank").alias("_of")).agg(F.min("_before").alias("_first"))
+    new = pairs.join(first, F.col("rank") == F.col("_of"))
+    new = new.select(F.col("rank").alias("_rank"), F.col("_r").alias("_second"), (F.col("rank") + F.col("_before") - F.col("_first")).alias("_new"), "_c")
+    moved = both.join(durable(new), (F.col("rank") == F.col("_rank")) & (F.col("_r") == F.col("_second")))
+    done = F.coalesce(F.col("_d"), F.lit(False)) | F.coalesce(F.col("m") <= 2 * step, F.lit(False))
+    moved = moved.select("s", "g", "base", "end", "m", F.col("_new").alias("rank"), done.alias("done"), (~done & (F.col("_c") > 1) & (F.col("_r") >= 0)).alias("open"))
+    return durable(state.filter("NOT open").unionByName(moved))
+
+
+def rounds(lines: DataFrame, min_words: int, backwards: bool) -> list[DataFrame]:
+    """The states of all rounds: in the last one no bucket is open."""
+    states = [suffixes(lines, min_words, backwards)]
+    while not states[-1].filter("open").isEmpty():
+        states.append(doubled(states[-1], 1 << (len(states) - 1)))
+    return states
+
+
+def intervals(states: list[DataFrame]) -> DataFrame:
+    """rank and interval: the LCP intervals of ``min_words`` words over the buckets of the suffix array."""
+    buckets = states[-1].filter("m IS NOT NULL").groupBy("rank").agg(F.min(F.struct("s", "m")).alias("_x"))
+    buckets = prefix_sums(durable(buckets.select("rank", "_x.*")), [F.col("rank")], F.lit(1))
+    buckets = durable(buckets.select("rank", "s", "m", F.col("_before").alias("i")))
+    left = buckets.select(F.col("s").alias("p"), (F.col("i") + 1).alias("_i"))
+    pairs = buckets.join(left, F.col("i") == F.col("_i")).select("i", "p", F.col("s").alias("q"), "m", F.lit(0).alias("lcp"), F.lit(False).alias("same"))
+    for k in reversed(range(len(states))):
+        one = states[k].select(F.col("s").alias("_s1"), F.col("rank").alias("_r1"), "done")
+        two = states[k].select(F.col("s").alias("_s2"), F.col("rank").alias("_r2"))
+        met = pairs.filter("NOT same AND lcp < m").join(one, F.col("p") + F.col("lcp") == F.col("_s1"), "left")
+        met = met.join(two, F.col("q") + F.col("lcp") == F.col("_s2"), "left")
+        equal = F.coalesce(F.col("_r1") == F.col("_r2"), F.lit(False))
+        met = met.select("i", "p", "q", "m", (F.col("lcp") + F.when(equal, 1 << k).otherwise(0)).alias("lcp"), (equal & F.col("done")).alias("same"))
+        pairs = durable(met.unionByName(pairs.filter("same OR lcp >= m")))
+    joined = pairs.filter("same OR lcp >= m").select(F.col("i").alias("_j"), F.lit(0).alias("_cut"))
+    cut = buckets.join(joined, F.col("i") == F.col("_j"), "left").select("i", "rank", F.coalesce("_cut", F.lit(1)).alias("_cut"))
+    cut = prefix_sums(durable(cut), [F.col("i")], F.col("_cut"))
+    return cut.select(F.col("rank").alias("_rank"), (F.col("_before") + F.col("_cut")).alias("interval"))
+
+
+def copies(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
+    """base, from, to (places, to excluded): the runs of ``min_words`` words at all but the first place of an interval."""
+    states = rounds(lines, min_words, backwards)
+    heads = states[-1].filter("m IS NOT NULL").select("g", "base", "m", "rank")
+    heads = durable(heads.join(durable(intervals(states)), F.col("rank") == F.col("_rank")).select("g", "base", "m", "interval"))
+    first = durable(heads.groupBy(F.col("interval").alias("_of")).agg(F.min("g").alias("_first"), F.max("g").alias("_last")).filter("_first < _last"))
+    later = heads.join(first, F.col("interval") == F.col("_of")).filter(F.col("g") > F.col("_first"))
+    begin = F.col("g") - F.col("m") + 1 if backwards else F.col("g")
+    return later.select("base", begin.alias("from"), (begin + F.col("m")).alias("to"))
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_k and spans: the disjoint ranges of lines (array of structs from, to) to delete from a document."""
-    lines = durable(line_table(docs))
-    runs = earlier_runs(lines)
-    begin = lines.select("_k", "pos", "before")
-    last = lines.select("_k", (F.col("pos")).alias("_last"), "upto")
-    runs = runs.withColumn("_last", F.col("pos") + F.col("len") - 1).join(begin, ["_k", "pos"]).join(last, ["_k", "_last"])
-    long_ = runs.filter(F.col("upto") - F.col("before") >= min_words).select("_k", "pos", (F.col("_last") + 1).alias("to"))
-    earlier = Window.partitionBy("_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.coalesce(F.max("to").over(earlier), F.lit(0))
-    spans = long_.withColumn("_done", reached).filter("to > _done")
-    span = F.struct(F.greatest("pos", "_done").alias("from"), F.col("to").alias("to"))
-    return spans.groupBy("_k").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    """k1, k2 and spans: the disjoint ranges of lines (array of structs from, to) to delete from a document."""
+    lines, bases = repeated_lines(durable(line_table(docs)), min_words)
+    runs = durable(copies(lines, min_words, False).unionByName(copies(lines, min_words, True)))
+    earlier = Window.partitionBy("base").orderBy("from", "to").rowsBetween(*BEFORE)
+    reached = F.coalesce(F.max("to").over(earlier), F.col("base"))
+    spans = runs.withColumn("_done", reached).filter("to > _done")
+    span = F.struct((F.greatest("from", "_done") - F.col("base")).cast("int").alias("from"), (F.col("to") - F.col("base")).cast("int").alias("to"))
+    spans = spans.groupBy(F.col("base").alias("_base")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return bases.join(spans, F.col("base") == F.col("_base")).select(F.struct(F.col("_k1").alias("a"), F.col("_k2").alias("b")).alias("_key"), "spans")
+
+
+def without(lines: Column, spans: Column) -> Column:
+    """The lines outside of the spans: the slices between them."""
+    between = F.transform(spans, lambda x, i: F.slice(lines, _reached(spans, i) + 1, x["from"] - _reached(spans, i)))
+    end = F.element_at(spans, -1)["to"]
+    return F.flatten(F.concat(between, F.array(F.slice(lines, end + 1, F.size(lines)))))
+
+
+def _reached(spans: Column, i: Column) -> Column:
+    return F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["to"])
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rest: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text (less the deleted lines), n_lines, n_removed (longs), and ``rest`` as _rest.
 
-    Deleted is every line of a run of lines with ``min_words`` words or more whose equal starts at an earlier place;
-    places go by doc_id (null last), then line. So of every such run the first copy stays. Runs do not cross
-    documents; lines are compared as they are. Rows equal in doc_id and text are one document and are treated alike.
-    Null texts have no lines and stay null; empty lines count as lines and never make a run of words by themselves.
-    A document of which every line is deleted is left with an empty text.
+    Deleted is every line of a run of lines with ``min_words`` words (at least 1) or more whose equal starts at an
+    earlier place; places go by doc_id (null last), then line. So of every such run the first copy stays. Runs do not
+    cross documents; lines are compared as they are. Rows equal in doc_id and text are one document and are treated
+    alike. Null texts have no lines and stay null; empty lines count as lines and never make a run of words by
+    themselves. A document of which every line is deleted is left with an empty text. The lines of one text have to
+    fit an array (2^31 - 1).
     """
+    if min_words < 1:
+        raise ValueError("a run has one word at least")
     rows = docs.select("doc_id", "text", *([] if rest is None else [rest.alias("_rest")]))
-    found = durable(later_copies(docs.select("doc_id", "text"), min_words)).withColumnRenamed("_k", "_key")
+    found = durable(later_copies(docs.select("doc_id", "text"), min_words))
     rows = rows.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
-    joined = rows.join(few_or_shuffled(found), F.col("_k") == F.col("_key"), "left")
-    outside = lambda x, i: ~F.exists("spans", lambda s: (i >= s["from"]) & (i < s["to"]))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), outside), "\n")
+    joined = rows.join(joined_by_shuffle(found), F.col("_k") == F.col("_key"), "left")
+    body = F.split("text", "\n", -1)
+    kept = F.array_join(without(body, F.col("spans")), "\n")
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["to"] - s["from"])
     return joined.select(
         "doc_id",
         F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(body)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         *([] if rest is None else ["_rest"]),
     )
 
 
 def deduped_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs``, all columns, with the later copies deleted; documents of which nothing is left go, n_chars is counted again."""
+    """``docs``, all columns, with the later copies deleted; documents of which nothing is left go, n_chars is counted again.
+
+    Nulls, empty texts, ties and repeated rows are as in ``dedup_lines``; null and empty texts stay.
+    """
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     out = dedup_lines(docs, min_words, rest).filter("n_removed < n_lines OR n_removed = 0")
     made = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_rest").getField("n_chars") if "n_chars" in docs.columns else F.lit(None))}

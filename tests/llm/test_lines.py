@@ -53,3 +53,20 @@ def test_repeated_rows_null_ids_and_documents(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {1: (text + "\nown words", len(text) + 10), 2: ("clean", 5)}
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_runs_of_many_shapes(spark):
+    r = random.Random(21)
+    pool = ["a b", "c d e", "f", "", "g h i j k l m n", "", "o p"]
+    blocks = [[r.choice(pool) for _ in range(r.randrange(1, 9))] for _ in range(4)]
+    texts = ["\n".join(line for _ in range(r.randrange(1, 6)) for line in (r.choice(blocks) if r.random() < 0.7 else [f"own {r.random()}"])) for _ in range(40)]
+    for min_words in (1, 7, 12):
+        check(spark, texts, min_words)
+
+
+def test_one_long_document_of_equal_lines(spark):
+    n = 60_000
+    docs = frame(spark, ["\n".join(["x y"] * n), "\n".join(["p q", *["x y"] * 30, "r"])])
+    out = {x.doc_id: x for x in dedup_lines(docs, 50).collect()}
+    assert (out[0].n_lines, out[0].n_removed, out[0].text) == (n, n - 1, "x y")
+    assert (out[1].n_removed, out[1].text) == (30, "p q\nr")
