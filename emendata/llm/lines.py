@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emendata.llm.common import durable, joined_by_shuffle, row_key, word_count
+from emendata.llm.common import durable, joined_by_shuffle, let, row_key, word_count
 
 MIN_WORDS = 50
 BEFORE = (Window.unboundedPreceding, -1)
@@ -160,13 +160,15 @@ def copies(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """k1, k2 and spans: the disjoint ranges of lines (array of structs from, to) to delete from a document."""
+    """_key and spans: the disjoint ranges of lines (array of structs from, to) to delete from a document."""
     lines, bases = repeated_lines(durable(line_table(docs)), min_words)
     runs = durable(copies(lines, min_words, False).unionByName(copies(lines, min_words, True)))
     earlier = Window.partitionBy("base").orderBy("from", "to").rowsBetween(*BEFORE)
-    reached = F.coalesce(F.max("to").over(earlier), F.col("base"))
-    spans = runs.withColumn("_done", reached).filter("to > _done")
-    span = F.struct((F.greatest("from", "_done") - F.col("base")).cast("int").alias("from"), (F.col("to") - F.col("base")).cast("int").alias("to"))
+    apart = F.col("from") > F.coalesce(F.max("to").over(earlier), F.lit(-1))
+    upto = Window.partitionBy("base").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = runs.withColumn("_apart", apart.cast("int")).withColumn("_span", F.sum("_apart").over(upto))
+    spans = spans.groupBy("base", "_span").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    span = F.struct((F.col("from") - F.col("base")).cast("int").alias("from"), (F.col("to") - F.col("base")).cast("int").alias("to"))
     spans = spans.groupBy(F.col("base").alias("_base")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
     return bases.join(spans, F.col("base") == F.col("_base")).select(F.struct(F.col("_k1").alias("a"), F.col("_k2").alias("b")).alias("_key"), "spans")
 
@@ -199,7 +201,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rest: Column | None
     rows = rows.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
     joined = rows.join(joined_by_shuffle(found), F.col("_k") == F.col("_key"), "left")
     body = F.split("text", "\n", -1)
-    kept = F.array_join(without(body, F.col("spans")), "\n")
+    kept = F.array_join(let(body, lambda lines: without(lines, F.col("spans"))), "\n")
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["to"] - s["from"])
     return joined.select(
         "doc_id",

@@ -32,7 +32,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("_row")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("_row", "_root")
 
 
 def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
