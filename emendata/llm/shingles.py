@@ -12,7 +12,7 @@ JOIN = U(0xD6E8FEB86659FD93)
 SLICE_BYTES = 4 << 20
 #: Distinct words whose numbers one worker remembers before it starts over; bounds memory, never results.
 REMEMBERED = 2_000_000
-_numbers: dict[str, int] = {}
+_numbers: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,23 +30,22 @@ def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A word's number is the 64-bit XXH3 hash of its bytes: a hash of the whole word, without structure that would make
     two words of some pattern meet.
     """
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    split = pc.ascii_split_whitespace(low)
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = split.values.dictionary_encode()
     if len(_numbers) > REMEMBERED:
         _numbers.clear()
     table = np.empty(len(coded.dictionary), U)
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
     for i, word in enumerate(words):
         number = _numbers.get(word)
         if number is None:
-            number = _numbers[word] = xxhash.xxh3_64_intdigest(word)
+            number = _numbers[word] = xxhash.xxh3_64_intdigest(word.lower())
         table[i] = number
     codes = coded.indices.to_numpy(zero_copy_only=False)
     bounds = split.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
-    if "" in words:  # white space at either end of a text leaves an empty piece
-        real = codes != words.index("")
+    if b"" in words:  # white space at either end of a text leaves an empty piece
+        real = codes != words.index(b"")
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
         codes = codes[real]
     return table[codes], bounds
