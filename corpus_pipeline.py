@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage takes what the one before kept, written as Parquet and read again."""
+"""The corpus pipeline: each stage takes what the one before kept, written as Parquet and read again.
+
+Stages take nulls in any column, repeated rows, empty tables and further columns, which all but the last hand on. A null
+or empty text has no words: it is scored like any other, has no lines to delete and no copies, is in no mix (so it goes
+there), and would be packed as its end id alone. Rows that repeat an id and a text are one document to line dedup, and
+near-dedup keeps one of them.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emendata.llm import lines, mixing, neardup, packing, quality
-from emendata.llm.common import stored, table
+from emendata.llm.common import discard, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
