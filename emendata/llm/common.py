@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -81,9 +82,16 @@ def _remove(path: str) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote for ``df``, which nothing reads any more."""
-    _remove(df.stored_at)
+def discard(*used: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these, which nothing reads any more."""
+    for df in used:
+        _remove(df.stored_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files and checkpoints of finished steps: it waits for the driver's garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @atexit.register

@@ -21,25 +21,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emendata.llm.common import durable, joined_by_shuffle, let, row_key, word_count
+from emendata.llm.common import discard, joined_by_shuffle, let, release, row_key, stored, word_count
 
 MIN_WORDS = 50
 BEFORE = (Window.unboundedPreceding, -1)
 
 
 def prefix_sums(rows: DataFrame, order: list[Column], value: Column) -> DataFrame:
-    """``rows`` with _before, the sum of ``value`` over all rows that stand before in ``order``.
+    """``rows``, which are stored, with _before, the sum of ``value`` over all rows that stand before in ``order``.
 
     Rows are dealt by range, so that no key and no prefix of the order has to fit one task; the sums of the ranges, one
     number per partition, are summed up by themselves.
     """
     dealt = rows.withColumn("_v", value.cast("long")).repartitionByRange(*order)
-    dealt = durable(dealt.withColumn("_p", F.spark_partition_id()))
+    dealt = stored(dealt.withColumn("_p", F.spark_partition_id()))
     totals = dealt.groupBy("_p").agg(F.sum("_v").alias("_t"))
     bases = totals.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(*BEFORE)), F.lit(0)).alias("_base"))
     within = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(*BEFORE))
     out = dealt.join(F.broadcast(bases), "_p").withColumn("_before", F.col("_base") + F.coalesce(within, F.lit(0)))
-    return out.drop("_p", "_v", "_base")
+    out = out.drop("_p", "_v", "_base")
+    out.stored_at = dealt.stored_at  # until discarded
+    return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -57,14 +59,14 @@ def repeated_lines(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
     document's first line), rank (of the identifier), w, low and high (g of the stretch's ends), v (words before it in
     the stretch), total (words of the stretch). Documents that repeat are one.
     """
-    counts = durable(lines.groupBy("a", "b").agg(F.count("*").alias("_c")).filter("_c > 1"))
+    counts = stored(lines.groupBy("a", "b").agg(F.count("*").alias("_c")).filter("_c > 1"))
     ranks = prefix_sums(counts, [F.col("a"), F.col("b")], F.col("_c"))
-    ranks = durable(ranks.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_before").alias("rank")))
-    found = lines.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    found = durable(found.select("doc_id", "k1", "k2", "pos", "w", "rank").dropDuplicates(["k1", "k2", "pos"]))
+    own = ranks.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_before").alias("rank"))
+    found = lines.join(own, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    found = found.select("doc_id", "k1", "k2", "pos", "w", "rank").dropDuplicates(["k1", "k2", "pos"])
     # Stretches are the islands of positions without a gap.
-    own = Window.partitionBy("k1", "k2").orderBy("pos")
-    found = found.withColumn("_s", F.col("pos") - F.row_number().over(own))
+    order = Window.partitionBy("k1", "k2").orderBy("pos")
+    found = found.withColumn("_s", F.col("pos") - F.row_number().over(order))
     stretch = Window.partitionBy("k1", "k2", "_s")
     found = found.select(
         "doc_id", "k1", "k2", "pos", "w", "rank",
@@ -73,14 +75,16 @@ def repeated_lines(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
         F.sum("w").over(stretch).alias("total"),
         F.coalesce(F.sum("w").over(stretch.orderBy("pos").rowsBetween(*BEFORE)), F.lit(0)).alias("v"),
     ).filter(F.col("total") >= min_words)
-    found = durable(found)
-    docs = found.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), (F.max("pos") + 1).alias("_n"))
+    found = stored(found)
+    discard(counts, ranks)
+    docs = stored(found.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), (F.max("pos") + 1).alias("_n")))
     bases = prefix_sums(docs, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2")], F.col("_n"))
-    bases = durable(bases.select(F.col("_before").alias("base"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
-    placed = found.join(bases, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    own = bases.select(F.col("_before").alias("base"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    placed = found.join(own, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     at = lambda c: (F.col("base") + F.col(c)).alias
-    placed = placed.select(at("pos")("g"), "base", "rank", "w", at("low")("low"), at("high")("high"), "v", "total")
-    return durable(placed), bases
+    placed = stored(placed.select(at("pos")("g"), "base", "rank", "w", at("low")("low"), at("high")("high"), "v", "total"))
+    discard(found, docs)
+    return placed, bases
 
 
 def suffixes(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
@@ -99,7 +103,7 @@ def suffixes(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
     last, held = F.max("s").over(ahead), F.max(F.col("v") + F.col("w")).over(ahead)
     rows = rows.withColumn("m", F.when(held - F.col("v") >= min_words, last - F.col("s") + 1))
     done = F.coalesce(F.col("m") <= 1, F.lit(False))
-    return durable(rows.select("s", "g", "base", "end", "m", "rank", done.alias("done"), (~done).alias("open")))
+    return stored(rows.select("s", "g", "base", "end", "m", "rank", done.alias("done"), (~done).alias("open")))
 
 
 def doubled(state: DataFrame, step: int) -> DataFrame:
@@ -107,16 +111,18 @@ def doubled(state: DataFrame, step: int) -> DataFrame:
     second = state.select(F.col("s").alias("_s"), F.col("rank").alias("_r"), F.col("done").alias("_d"))
     ahead = (F.col("s") + step == F.col("_s")) & (F.col("s") + step <= F.col("end"))
     both = state.filter("open").join(second, ahead, "left").withColumn("_r", F.coalesce("_r", F.lit(-1))).drop("_s")
-    both = durable(both)
-    pairs = both.groupBy("rank", "_r").agg(F.count("*").alias("_c"))
-    pairs = durable(prefix_sums(durable(pairs), [F.col("rank"), F.col("_r")], F.col("_c")))
+    both = stored(both)
+    counts = stored(both.groupBy("rank", "_r").agg(F.count("*").alias("_c")))
+    pairs = prefix_sums(counts, [F.col("rank"), F.col("_r")], F.col("_c"))
     first = pairs.groupBy(F.col("rank").alias("_of")).agg(F.min("_before").alias("_first"))
     new = pairs.join(first, F.col("rank") == F.col("_of"))
     new = new.select(F.col("rank").alias("_rank"), F.col("_r").alias("_second"), (F.col("rank") + F.col("_before") - F.col("_first")).alias("_new"), "_c")
-    moved = both.join(durable(new), (F.col("rank") == F.col("_rank")) & (F.col("_r") == F.col("_second")))
+    moved = both.join(new, (F.col("rank") == F.col("_rank")) & (F.col("_r") == F.col("_second")))
     done = F.coalesce(F.col("_d"), F.lit(False)) | F.coalesce(F.col("m") <= 2 * step, F.lit(False))
     moved = moved.select("s", "g", "base", "end", "m", F.col("_new").alias("rank"), done.alias("done"), (~done & (F.col("_c") > 1) & (F.col("_r") >= 0)).alias("open"))
-    return durable(state.filter("NOT open").unionByName(moved))
+    out = stored(state.filter("NOT open").unionByName(moved))
+    discard(both, counts, pairs)
+    return out
 
 
 def rounds(lines: DataFrame, min_words: int, backwards: bool) -> list[DataFrame]:
@@ -128,12 +134,13 @@ def rounds(lines: DataFrame, min_words: int, backwards: bool) -> list[DataFrame]
 
 
 def intervals(states: list[DataFrame]) -> DataFrame:
-    """rank and interval: the LCP intervals of ``min_words`` words over the buckets of the suffix array."""
-    buckets = states[-1].filter("m IS NOT NULL").groupBy("rank").agg(F.min(F.struct("s", "m")).alias("_x"))
-    buckets = prefix_sums(durable(buckets.select("rank", "_x.*")), [F.col("rank")], F.lit(1))
-    buckets = durable(buckets.select("rank", "s", "m", F.col("_before").alias("i")))
-    left = buckets.select(F.col("s").alias("p"), (F.col("i") + 1).alias("_i"))
-    pairs = buckets.join(left, F.col("i") == F.col("_i")).select("i", "p", F.col("s").alias("q"), "m", F.lit(0).alias("lcp"), F.lit(False).alias("same"))
+    """rank and interval (_before + _cut): the LCP intervals of ``min_words`` words over the buckets of the suffix array."""
+    buckets = stored(states[-1].filter("m IS NOT NULL").groupBy("rank").agg(F.min(F.struct("s", "m")).alias("_x")).select("rank", "_x.*"))
+    numbered = prefix_sums(buckets, [F.col("rank")], F.lit(1))
+    placed = numbered.withColumnRenamed("_before", "i")
+    left = placed.select(F.col("s").alias("p"), (F.col("i") + 1).alias("_i"))
+    pairs = placed.join(left, F.col("i") == F.col("_i")).select("i", "p", F.col("s").alias("q"), "m", F.lit(0).alias("lcp"), F.lit(False).alias("same"))
+    pairs = stored(pairs)
     for k in reversed(range(len(states))):
         one = states[k].select(F.col("s").alias("_s1"), F.col("rank").alias("_r1"), "done")
         two = states[k].select(F.col("s").alias("_s2"), F.col("rank").alias("_r2"))
@@ -141,36 +148,50 @@ def intervals(states: list[DataFrame]) -> DataFrame:
         met = met.join(two, F.col("q") + F.col("lcp") == F.col("_s2"), "left")
         equal = F.coalesce(F.col("_r1") == F.col("_r2"), F.lit(False))
         met = met.select("i", "p", "q", "m", (F.col("lcp") + F.when(equal, 1 << k).otherwise(0)).alias("lcp"), (equal & F.col("done")).alias("same"))
-        pairs = durable(met.unionByName(pairs.filter("same OR lcp >= m")))
+        next_ = stored(met.unionByName(pairs.filter("same OR lcp >= m")))
+        discard(pairs)
+        pairs = next_
     joined = pairs.filter("same OR lcp >= m").select(F.col("i").alias("_j"), F.lit(0).alias("_cut"))
-    cut = buckets.join(joined, F.col("i") == F.col("_j"), "left").select("i", "rank", F.coalesce("_cut", F.lit(1)).alias("_cut"))
-    cut = prefix_sums(durable(cut), [F.col("i")], F.col("_cut"))
-    return cut.select(F.col("rank").alias("_rank"), (F.col("_before") + F.col("_cut")).alias("interval"))
+    cut = stored(placed.join(joined, F.col("i") == F.col("_j"), "left").select("i", "rank", F.coalesce("_cut", F.lit(1)).alias("_cut")))
+    found = prefix_sums(cut, [F.col("i")], F.col("_cut"))
+    discard(buckets, numbered, pairs, cut)
+    return found
 
 
 def copies(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
     """base, from, to (places, to excluded): the runs of ``min_words`` words at all but the first place of an interval."""
     states = rounds(lines, min_words, backwards)
+    found = intervals(states)
+    own = found.select(F.col("rank").alias("_rank"), (F.col("_before") + F.col("_cut")).alias("interval"))
     heads = states[-1].filter("m IS NOT NULL").select("g", "base", "m", "rank")
-    heads = durable(heads.join(durable(intervals(states)), F.col("rank") == F.col("_rank")).select("g", "base", "m", "interval"))
-    first = durable(heads.groupBy(F.col("interval").alias("_of")).agg(F.min("g").alias("_first"), F.max("g").alias("_last")).filter("_first < _last"))
+    heads = stored(heads.join(own, F.col("rank") == F.col("_rank")).select("g", "base", "m", "interval"))
+    first = heads.groupBy(F.col("interval").alias("_of")).agg(F.min("g").alias("_first"), F.max("g").alias("_last")).filter("_first < _last")
     later = heads.join(first, F.col("interval") == F.col("_of")).filter(F.col("g") > F.col("_first"))
     begin = F.col("g") - F.col("m") + 1 if backwards else F.col("g")
-    return later.select("base", begin.alias("from"), (begin + F.col("m")).alias("to"))
+    out = stored(later.select("base", begin.alias("from"), (begin + F.col("m")).alias("to")))
+    discard(heads, found, *states)
+    release(lines.sparkSession)
+    return out
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_key and spans: the disjoint ranges of lines (array of structs from, to) to delete from a document."""
-    lines, bases = repeated_lines(durable(line_table(docs)), min_words)
-    runs = durable(copies(lines, min_words, False).unionByName(copies(lines, min_words, True)))
+    """_key and spans: the disjoint ranges of lines (array of structs from, to) to delete from a document; stored."""
+    every = stored(line_table(docs))
+    lines, bases = repeated_lines(every, min_words)
+    discard(every)
+    release(docs.sparkSession)
+    runs = [copies(lines, min_words, backwards) for backwards in (False, True)]
     earlier = Window.partitionBy("base").orderBy("from", "to").rowsBetween(*BEFORE)
     apart = F.col("from") > F.coalesce(F.max("to").over(earlier), F.lit(-1))
     upto = Window.partitionBy("base").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = runs.withColumn("_apart", apart.cast("int")).withColumn("_span", F.sum("_apart").over(upto))
+    spans = runs[0].unionByName(runs[1]).withColumn("_apart", apart.cast("int")).withColumn("_span", F.sum("_apart").over(upto))
     spans = spans.groupBy("base", "_span").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     span = F.struct((F.col("from") - F.col("base")).cast("int").alias("from"), (F.col("to") - F.col("base")).cast("int").alias("to"))
-    spans = spans.groupBy(F.col("base").alias("_base")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    return bases.join(spans, F.col("base") == F.col("_base")).select(F.struct(F.col("_k1").alias("a"), F.col("_k2").alias("b")).alias("_key"), "spans")
+    spans = spans.groupBy("base").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    out = bases.join(spans, F.col("_before") == F.col("base")).select(F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")).alias("_key"), "spans")
+    out = stored(out)
+    discard(lines, bases, *runs)
+    return out
 
 
 def without(lines: Column, spans: Column) -> Column:
@@ -197,7 +218,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rest: Column | None
     if min_words < 1:
         raise ValueError("a run has one word at least")
     rows = docs.select("doc_id", "text", *([] if rest is None else [rest.alias("_rest")]))
-    found = durable(later_copies(docs.select("doc_id", "text"), min_words))
+    found = later_copies(docs.select("doc_id", "text"), min_words)
     rows = rows.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
     joined = rows.join(joined_by_shuffle(found), F.col("_k") == F.col("_key"), "left")
     body = F.split("text", "\n", -1)

@@ -60,7 +60,7 @@ def test_runs_of_many_shapes(spark):
     pool = ["a b", "c d e", "f", "", "g h i j k l m n", "", "o p"]
     blocks = [[r.choice(pool) for _ in range(r.randrange(1, 9))] for _ in range(4)]
     texts = ["\n".join(line for _ in range(r.randrange(1, 6)) for line in (r.choice(blocks) if r.random() < 0.7 else [f"own {r.random()}"])) for _ in range(40)]
-    for min_words in (1, 7, 12):
+    for min_words in (1, 9):
         check(spark, texts, min_words)
 
 
