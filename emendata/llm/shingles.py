@@ -10,9 +10,6 @@ import xxhash
 U = np.uint64
 JOIN = U(0xD6E8FEB86659FD93)
 SLICE_BYTES = 4 << 20
-#: Distinct words whose numbers one worker remembers before it starts over; bounds memory, never results.
-REMEMBERED = 2_000_000
-_numbers: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,15 +29,8 @@ def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = split.values.dictionary_encode()
-    if len(_numbers) > REMEMBERED:
-        _numbers.clear()
-    table = np.empty(len(coded.dictionary), U)
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    for i, word in enumerate(words):
-        number = _numbers.get(word)
-        if number is None:
-            number = _numbers[word] = xxhash.xxh3_64_intdigest(word.lower())
-        table[i] = number
+    table = np.fromiter((xxhash.xxh3_64_intdigest(word.lower()) for word in words), U, len(words))
     codes = coded.indices.to_numpy(zero_copy_only=False)
     bounds = split.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
