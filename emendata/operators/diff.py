@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from emendata.functions.text import fold
+from emendata.operators.versioning import revision_pairs
 
 #: Similarity from which a removed and an added paragraph are one that was edited, and the bar for those that take
 #: the same place of a gap of equal length on both sides.
@@ -19,7 +22,11 @@ INDEX_JOIN = r"\s\++\s"
 
 
 def myers(a: list, b: list) -> list[tuple[int, int, int, int]]:
-    """Gaps (a from, a to, b from, b to) between equal stretches, by the greedy O(ND) algorithm."""
+    """Gaps (a from, a to, b from, b to) between equal stretches, by the greedy O(ND) algorithm.
+
+    Items that the other side has not are in a gap whatever the rest does, so only the others are compared: two texts
+    without a word in common cost nothing. A step keeps as many numbers as it has diagonals.
+    """
     n, m = len(a), len(b)
     head = 0
     while head < min(n, m) and a[head] == b[head]:
@@ -27,39 +34,54 @@ def myers(a: list, b: list) -> list[tuple[int, int, int, int]]:
     tail = 0
     while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
         tail += 1
-    x, y = a[head : n - tail], b[head : m - tail]
-    trace, reach = [], {1: 0}
-    for d in range(len(x) + len(y) + 1):
-        trace.append(dict(reach))
+    both = set(a[head : n - tail]) & set(b[head : m - tail])
+    rows = [i for i in range(head, n - tail) if a[i] in both]
+    columns = [j for j in range(head, m - tail) if b[j] in both]
+    pairs = _matches([a[i] for i in rows], [b[j] for j in columns])
+    gaps, i, j = [], head, head
+    for x, y in [*((rows[x], columns[y]) for x, y in pairs), (n - tail, m - tail)]:
+        if x > i or y > j:
+            gaps.append((i, x, j, y))
+        i, j = x + 1, y + 1
+    return gaps
+
+
+def _matches(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: furthest reaches by number of edits, walked back from the end."""
+    n, m = len(x), len(y)
+    reach, trace = [0] * (2 * (n + m) + 3), []  # by diagonal k = i - j, from -(n + m) - 1
+    zero = n + m + 1
+    for d in range(n + m + 1):
+        trace.append(array("i", reach[zero - d - 1 : zero + d + 2]))
         for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            i = reach[k + 1] if down else reach[k - 1] + 1
-            while i < len(x) and i - k < len(y) and x[i] == y[i - k]:
+            at = zero + k
+            i = reach[at + 1] if k == -d or (k != d and reach[at - 1] < reach[at + 1]) else reach[at - 1] + 1
+            while i < n and i - k < m and x[i] == y[i - k]:
                 i += 1
-            reach[k] = i
-            if i >= len(x) and i - k >= len(y):
-                return _gaps(trace, len(x), len(y), head)
+            reach[at] = i
+            if i >= n and i - k >= m:
+                return _walked_back(trace, n, m)
     return []
 
 
-def _gaps(trace: list[dict[int, int]], i: int, j: int, shift: int) -> list[tuple[int, int, int, int]]:
-    """Walk the furthest reaches back and join neighbouring steps to gaps."""
-    steps = []
-    for d in range(len(trace) - 1, 0, -1):
-        reach, k = trace[d], i - j
-        down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-        before = k + 1 if down else k - 1
-        p = reach[before]
-        q = p - before
-        steps.append((p, p, q, q + 1) if down else (p, p + 1, q, q))
-        i, j = p, q
-    gaps: list[list[int]] = []
-    for s in reversed(steps):
-        if gaps and gaps[-1][1] == s[0] and gaps[-1][3] == s[2]:
-            gaps[-1][1], gaps[-1][3] = s[1], s[3]
+def _walked_back(trace: list[array], i: int, j: int) -> list[tuple[int, int]]:
+    pairs = []
+    for d in range(len(trace) - 1, -1, -1):
+        reach, k, mid = trace[d], i - j, d + 1
+        if d == 0:
+            p = q = 0
         else:
-            gaps.append(list(s))
-    return [(g[0] + shift, g[1] + shift, g[2] + shift, g[3] + shift) for g in gaps]
+            down = k == -d or (k != d and reach[mid + k - 1] < reach[mid + k + 1])
+            before = k + 1 if down else k - 1
+            p = reach[mid + before]
+            q = p - before
+        # Equal items after the edit of this step, back to where the edit has led.
+        low = p if d == 0 else (p if down else p + 1)
+        while i > low:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        i, j = p, q
+    return pairs[::-1]
 
 
 def word_changes(a: list[str], b: list[str], fa: list[str], fb: list[str]) -> list[dict]:
@@ -226,11 +248,11 @@ CHANGE = T.StructType(
 DIFF = T.StructType([T.StructField("title", TITLE), T.StructField("paragraphs", T.ArrayType(CHANGE)), T.StructField("rewrites", T.BooleanType())])
 
 
-def side(title: Column, paragraphs: Column, compose: bool = False) -> Column:
+def side(title: Column, paragraphs: Column, compose: bool = True) -> Column:
     """A side of a diff, folded by Catalyst: the Arrow function that compares needs no rule of folding.
 
-    Folded items of index lines come along, so that those rules need none either. Text is composed once when it is
-    stored; ``compose`` true does it here.
+    Folded items of index lines come along, so that those rules need none either. Text is composed first, as hashes
+    do; ``compose`` false takes it as composed already.
     """
     from emendata.functions.text import nfc, nfc_all
 
@@ -304,6 +326,25 @@ def revision_diffs(pairs: DataFrame, title: str, paragraphs: str) -> DataFrame:
     return pairs.withColumn("_a", old).withColumn("_b", new).withColumn("diff", compared(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
+def diffs_of_revisions(revisions: DataFrame, doc: str, title: str, paragraphs: str) -> DataFrame:
+    """The diff of each revision with the one before it: every revision is folded once, and carried to the next."""
+    folded = revisions.withColumn("_side", side(F.col(title), F.col(paragraphs)))
+    pairs = revision_pairs(folded, doc, [title, paragraphs, "_side"])
+    return pairs.withColumn("diff", compared(F.col("from__side"), F.col("to__side"))).drop("from__side", "to__side")
+
+
+def rewritten_listing(listing: DataFrame, diffs: DataFrame, doc: str, version: str) -> DataFrame:
+    """``rewritten_only`` with hidden: how many rows of the listing are left out, the same in every row.
+
+    The listing is limited before, so the sum over it is one over a few rows; with all rows hidden nothing is left.
+    """
+    flags = diffs.select(F.col(doc).alias("_d"), F.col("to_version").alias("_v"), F.col("diff.rewrites").alias("_w"))
+    joined = listing.join(flags, (F.col(doc) == F.col("_d")) & (F.col(version) == F.col("_v")), "left")
+    joined = joined.withColumn("_w", F.coalesce("_w", F.lit(True)))
+    hidden = F.sum(F.when(F.col("_w"), 0).otherwise(1)).over(Window.partitionBy(F.lit(1)))
+    return joined.withColumn("hidden", hidden.cast("long")).filter("_w").drop("_d", "_v", "_w")
+
+
 def rewritten_only(listing: DataFrame, diffs: DataFrame, doc: str, version: str) -> DataFrame:
     """Rows of a limited listing whose newest change rewrites text that was there; without a predecessor a row stays."""
     flags = diffs.select(F.col(doc).alias("_d"), F.col("to_version").alias("_v"), F.col("diff.rewrites").alias("_w"))

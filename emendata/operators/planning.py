@@ -195,3 +195,15 @@ def polite_schedule(requests: DataFrame, host: str, arrive: str, seconds: str, g
     spent = F.coalesce(F.sum(F.col(seconds) + gap).over(by), F.lit(0.0))
     upto = Window.partitionBy(host).orderBy(arrive).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return requests.withColumn("_s", spent).withColumn("start", F.max(F.col(arrive) - F.col("_s")).over(upto) + F.col("_s")).drop("_s")
+
+
+def candidates(from_feeds: DataFrame, rechecks: DataFrame, position: str) -> DataFrame:
+    """Everything a run may fetch: what the feeds offer, then the stored documents they no longer carry.
+
+    The order is (part, position), part being 0 for feeds and 1 for re-checks, so that nothing has to be numbered
+    through; columns of one side only are null on the other.
+    """
+    first, then = from_feeds.withColumn("part", F.lit(0)), rechecks.withColumn("part", F.lit(1))
+    if position not in first.columns or position not in then.columns:
+        raise ValueError(f"both sides need the column {position}")
+    return first.unionByName(then, allowMissingColumns=True)

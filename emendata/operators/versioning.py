@@ -210,9 +210,14 @@ def fetch_url(identity: Column, origin: Column) -> Column:
     return F.coalesce(origin, identity)
 
 
-def not_planned(stored: DataFrame, planned: DataFrame, url: str) -> DataFrame:
-    """Stored documents whose fetch url is not planned yet, once each."""
-    return stored.dropDuplicates([url]).join(planned.select(url).distinct(), url, "left_anti")
+def not_planned(stored: DataFrame, planned: DataFrame, url: str, position: str | None = None) -> DataFrame:
+    """Stored documents whose fetch url is not planned yet, once each: the first by ``position``.
+
+    Without a position the first is that with the smallest values, column by column.
+    """
+    order = F.struct(*[F.col(c) for c in ([position] if position else []) + [c for c in stored.columns if c not in (url, position)]])
+    first = stored.groupBy(url).agg(F.min_by(F.struct(*stored.columns), order).alias("_row"))
+    return first.join(planned.select(url).distinct(), url, "left_anti").select("_row.*")
 
 
 def title_history(revisions: DataFrame, doc: str, title: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from emendata.functions import dates, http, text, urls
 from emendata.operators import diff, planning, versioning
-from emendata.sources import articles, captures, robots
+from emendata.sources import articles, captures, encoding, feeds, robots
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -198,7 +198,7 @@ def either_key_lookup(spark, sf_dir):
 @query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
 def not_planned(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return versioning.not_planned(pages, pages.filter("page_id % 3 = 0"), "url")
+    return versioning.not_planned(pages, pages.filter("page_id % 3 = 0"), "url", "page_id")
 
 
 _STRIKES = """
@@ -239,30 +239,18 @@ def claim_credibility(spark, sf_dir):
     return planning.claim_strikes(feeds, tally, "feed")
 
 
-NOW = 820_454_400  # 1996-01-01
+#: 500 hours after the last order, of 2001-08-01: after every check.
+NOW = 998_424_000
 _STATES = """
     e AS (SELECT o_orderkey AS pos, 'host' || (o_custkey % 40) AS host, epoch(o_orderdate)::BIGINT AS first_seen,
           CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE epoch(o_orderdate)::BIGINT + (o_orderkey % 500) * 3600 END AS last_checked,
           CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0 THEN epoch(o_orderdate)::BIGINT + (o_orderkey % 90) * 3600 END AS last_changed,
           CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 + o_orderkey % 5 END AS version_count,
-          epoch(o_orderdate)::BIGINT + (o_orderkey % 700) * 3600 AS feed_updated, o_orderkey % 11 = 0 AS feed_updated_exact, (o_orderkey % 30)::INT AS unconfirmed_claims
-          FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')"""
-
-
-#: The same over the whole table, at an instant after every check: 500 hours after the last order, of 2001-08-01.
-NOW_ALL = 998_424_000
-_STATES_ALL = _STATES.removesuffix(" WHERE o_orderdate < TIMESTAMP '1996-01-01')") + ")"
+          epoch(o_orderdate)::BIGINT + (o_orderkey % 700) * 3600 AS feed_updated, o_orderkey % 11 = 0 AS feed_updated_exact, (o_orderkey % 30)::INT AS unconfirmed_claims FROM orders)"""
 
 
 def states(spark, sf_dir):
-    return states_of(table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")))
-
-
-def states_all(spark, sf_dir):
-    return states_of(table(spark, sf_dir, "orders"))
-
-
-def states_of(orders):
+    orders = table(spark, sf_dir, "orders")
     key, day = F.col("o_orderkey"), F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000
     day = day.cast("long")
     unseen = key % 7 == 0
@@ -289,9 +277,6 @@ _PLAN = f"""WITH {_STATES},
     f AS (SELECT pos, host, CASE WHEN d = 'DUE' AND spent + turn > 120 THEN 'THROTTLED' ELSE d END AS decision FROM p)"""
 
 
-_PLAN_ALL = _PLAN.replace(_STATES, _STATES_ALL).replace(str(NOW), str(NOW_ALL))
-
-
 @query(_PLAN + " SELECT pos, host, decision FROM f")
 def recheck_plan(spark, sf_dir):
     return planning.RecheckPolicy().plan(states(spark, sf_dir), NOW).select("pos", "host", "decision")
@@ -310,24 +295,6 @@ def possibly_due(spark, sf_dir):
     return planning.RecheckPolicy().possibly_due(states(spark, sf_dir), NOW, doc="pos").select("pos", "last_checked")
 
 
-@query(_PLAN_ALL + " SELECT pos, host, decision FROM f")
-def recheck_plan_all(spark, sf_dir):
-    return planning.RecheckPolicy().plan(states_all(spark, sf_dir), NOW_ALL).select("pos", "host", "decision")
-
-
-@query(_PLAN_ALL + " SELECT decision, count(*) AS n FROM f GROUP BY 1")
-def recheck_report_all(spark, sf_dir):
-    return planning.RecheckPolicy().plan(states_all(spark, sf_dir), NOW_ALL).groupBy("decision").agg(F.count("*").alias("n"))
-
-
-@query(
-    f"""WITH {_STATES_ALL}, x AS (SELECT *, greatest(first_seen, last_changed) AS event FROM e)
-    SELECT pos, last_checked FROM x WHERE last_checked < {NOW_ALL} - 600 AND (event > {NOW_ALL} - 604800 OR (version_count > 1 AND event > {NOW_ALL} - 4 * 604800)) ORDER BY last_checked, pos LIMIT 500"""
-)
-def possibly_due_all(spark, sf_dir):
-    return planning.RecheckPolicy().possibly_due(states_all(spark, sf_dir), NOW_ALL, doc="pos").select("pos", "last_checked")
-
-
 @query("SELECT page_id, row_number() OVER (PARTITION BY trim(url) ORDER BY page_id) > 1 AS duplicate FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url || ' ' FROM pages WHERE page_id % 2 = 0)")
 def first_link_wins(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -393,17 +360,6 @@ def folded_hashes(spark, sf_dir):
     return docs.select("doc_id", text.content_hash(F.lit(""), F.split("text", "\n")).alias("content_hash"))
 
 
-@query(
-    f"""WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(nfc_normalize(x), '[\\x00-\\x08\\x0E-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents
-               WHERE NOT regexp_matches(text, '[0-9_`´]|[:=]|\\b(ago|soeben|eben|vor|just|moments)\\b'))
-    SELECT doc_id, sha256('{text.SCHEME}' || chr(10) || '0:' || chr(10) || array_to_string(list_transform(p, lambda x: length(x) || ':' || x || chr(10)), '')) AS content_hash FROM f"""
-)
-def folded_hash_basic(spark, sf_dir):
-    """Texts in which nothing is masked, so that SQL without look-around can spell the fold."""
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[0-9_`´]|[:=]|\b(ago|soeben|eben|vor|just|moments)\b"))
-    return docs.select("doc_id", text.content_hash(F.lit(""), F.split("text", "\n")).alias("content_hash"))
-
-
 @query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicate_groups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
@@ -424,19 +380,11 @@ def normalised_dates(spark, sf_dir):
     return found.select("o_orderkey", F.unix_micros("d.instant").alias("micros"), F.col("d.exact").alias("exact"))
 
 
-@query(
-    """SELECT event_type, verdict, count(*) AS n FROM (SELECT event_type, CASE WHEN event_type = 'error' THEN 'FAILED' WHEN user_id % 3 = 0 THEN 'SKIPPED_NOT_HTML' WHEN user_id % 5 = 0 THEN 'BLOCKED_BY_ROBOTS' ELSE 'FETCHED' END AS verdict
-       FROM (SELECT event_type, user_id FROM events WHERE NOT (event_type = 'error' AND user_id % 5 = 0) AND NOT (user_id % 15 = 0))) GROUP BY 1, 2"""
-)
-def fetch_verdicts(spark, sf_dir):
-    return verdict_counts(observations(spark, sf_dir).filter("NOT (event_type = 'error' AND user_id % 5 = 0) AND NOT (user_id % 15 = 0)"))
-
-
 @query(
     """SELECT event_type, verdict, count(*) AS n FROM (SELECT event_type, CASE WHEN user_id % 5 = 0 THEN 'BLOCKED_BY_ROBOTS' WHEN event_type = 'error' THEN 'FAILED' WHEN user_id % 3 = 0 THEN 'SKIPPED_NOT_HTML' ELSE 'FETCHED' END AS verdict
        FROM events) GROUP BY 1, 2"""
 )
-def fetch_verdicts_all(spark, sf_dir):
+def fetch_verdicts(spark, sf_dir):
     """Of several reasons the one that fetch_verdict asks for first holds: robots, then a failure, then the body."""
     return verdict_counts(observations(spark, sf_dir))
 
@@ -489,24 +437,111 @@ def extracted_articles(spark, sf_dir):
     )
 
 
-def conversation_pairs(spark, sf_dir):
+@query()
+def revision_diffs(spark, sf_dir):
     log = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.split("text", "\n").alias("paragraphs"), "text")
     revisions = versioning.append_if_changed(log, "conv_id", "turn", "text")
-    return versioning.revision_pairs(revisions, "conv_id", ["title", "paragraphs"])
+    found = diff.diffs_of_revisions(revisions, "conv_id", "title", "paragraphs")
+    count = lambda kind: F.size(F.filter("diff.paragraphs", lambda c: c["kind"] == kind)).alias(kind.lower())
+    return found.select("conv_id", "from_version", "to_version", count("ADDED"), count("REMOVED"), count("MOVED"), count("CHANGED"), F.col("diff.title").isNotNull().alias("title_changed"), F.col("diff.rewrites").alias("rewrites"), F.to_json("diff").alias("diff"))
 
 
-@query()
-def revision_diffs(spark, sf_dir):
-    found = diff.revision_diffs(conversation_pairs(spark, sf_dir), "title", "paragraphs")
+def edited_parts(spark, sf_dir):
+    """Two revisions of each part: by its key a paragraph is added, removed, moved, or has a word replaced.
+
+    The paragraphs share no words; one is spelt composed before and decomposed after, which is no change.
+    """
+    kind, name = F.col("p_partkey") % 4, F.col("p_name")
+    made = lambda words: F.concat(F.lit(words + " "), name)
+    a, b, c = made("the council met on monday evening about"), made("roads will be closed until further notice near"), made("critics called that old plan too costly for")
+    d, e, edited = F.lit("r\u00e9sum\u00e9 caf\u00e9 of all"), made("nobody was hurt when it happened at"), made("critics called that new plan too costly for")
+    spelt, more = F.lit("re\u0301sume\u0301 cafe\u0301 of all"), made("officials added one more sentence after")
+    after = F.when(kind == 0, F.array(a, b, c, spelt, e, more)).when(kind == 1, F.array(a, c, spelt, e)).when(kind == 2, F.array(b, c, spelt, e, a)).otherwise(F.array(a, b, edited, spelt, e))
+    parts = table(spark, sf_dir, "part")
+    title = F.when(kind == 3, F.lit("After")).otherwise(F.lit("Before"))
+    rows = parts.select("p_partkey", F.lit(1).alias("version_number"), F.lit("Before").alias("title"), F.array(a, b, c, d, e).alias("paragraphs"))
+    rows = rows.unionByName(parts.select("p_partkey", F.lit(2).alias("version_number"), title.alias("title"), after.alias("paragraphs")))
+    return diff.diffs_of_revisions(rows, "p_partkey", "title", "paragraphs")
+
+
+@query(
+    """SELECT p_partkey, (p_partkey % 4 = 0)::INT AS added, (p_partkey % 4 = 1)::INT AS removed, (p_partkey % 4 = 2)::INT AS moved, (p_partkey % 4 = 3)::INT AS changed,
+       p_partkey % 4 = 3 AS title_changed FROM part"""
+)
+def edit_kinds(spark, sf_dir):
     count = lambda kind: F.size(F.filter("diff.paragraphs", lambda c: c["kind"] == kind)).alias(kind.lower())
-    return found.select("conv_id", "from_version", "to_version", count("ADDED"), count("REMOVED"), count("MOVED"), count("CHANGED"), F.col("diff.title").isNotNull().alias("title_changed"), F.col("diff.rewrites").alias("rewrites"), F.to_json("diff").alias("diff"))
+    return edited_parts(spark, sf_dir).select("p_partkey", count("ADDED"), count("REMOVED"), count("MOVED"), count("CHANGED"), F.col("diff.title").isNotNull().alias("title_changed"))
 
 
-@query()
+@query("SELECT p_partkey, 'critics called that old plan too costly for ' || p_name AS from_text, 'old' AS removed_words, 'new' AS added_words, 2 AS from_index, 2 AS to_index FROM part WHERE p_partkey % 4 = 3")
 def marked_words(spark, sf_dir):
-    found = diff.revision_diffs(conversation_pairs(spark, sf_dir), "title", "paragraphs")
-    rows = found.select("conv_id", "to_version", F.explode("diff.paragraphs").alias("c")).filter("c.kind = 'CHANGED'")
-    return rows.select("conv_id", "to_version", F.to_json(diff.word_markup(F.col("c.from_text"), F.col("c.to_text"), F.col("c.words"))).alias("markup"))
+    rows = edited_parts(spark, sf_dir).select("p_partkey", F.explode("diff.paragraphs").alias("c")).filter("c.kind = 'CHANGED'")
+    marked = rows.select("p_partkey", "c", diff.word_markup(F.col("c.from_text"), F.col("c.to_text"), F.col("c.words")).alias("m"))
+    shown = lambda side: F.trim(F.array_join(F.transform(F.filter(side, lambda x: x["marked"]), lambda x: x["text"]), " "))
+    return marked.select("p_partkey", F.col("c.from_text").alias("from_text"), shown("m.before").alias("removed_words"), shown("m.after").alias("added_words"), F.col("c.from_index").alias("from_index"), F.col("c.to_index").alias("to_index"))
+
+
+@query(
+    """SELECT page_id, ['UTF-8', 'UTF-8', 'UTF-16BE', 'UTF-8'][page_id % 4 + 1] AS charset, ['HTTP_HEADER', 'BOM', 'BOM', 'DOCUMENT'][page_id % 4 + 1] AS source,
+       false AS replaced, [0, 1, 1, 1][page_id % 4 + 1] AS n_warnings, md5(html) AS hash FROM pages"""
+)
+def decoded_pages(spark, sf_dir):
+    """Pages as bytes: by the header's word, by their mark against the header's, by their mark against their own word, and by that word after an unknown one."""
+    pages, kind = table(spark, sf_dir, "pages"), F.col("page_id") % 4
+    plain = F.encode("html", "UTF-8")
+    body = F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), plain)).when(kind == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode("html", "UTF-16BE"))).otherwise(plain)
+    header = F.when(kind == 0, "text/html; charset=utf-8").when(kind == 1, "text/html; charset=latin1").when(kind == 3, "text/html; charset=undefined")
+    found = pages.select("page_id", encoding.decoded(body, header).alias("d"))
+    return found.select("page_id", "d.charset", "d.source", "d.replaced", F.size("d.warnings").alias("n_warnings"), F.md5("d.text").alias("hash"))
+
+
+@query(
+    """SELECT page_id // 10 AS feed, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS slot, 'Page ' || page_id || ' & more <i>' AS title, url AS link,
+       'rss_2.0' AS feed_type, 'a &nbsp; b' AS summary FROM pages"""
+)
+def feed_entries(spark, sf_dir):
+    """Feeds of ten pages each, written with the liberties that feeds take: bare ampersands, names of HTML, stray end tags."""
+    title = F.concat(F.lit("<title>Page "), F.col("page_id"), F.lit(" & more &lt;i&#62;</title></b>"))
+    item = F.concat(F.lit("<item>"), title, F.lit("<link>"), "url", F.lit("</link><description><![CDATA[a &nbsp; b]]></description></item>"))
+    feeds_ = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("feed")).agg(F.sort_array(F.collect_list(F.struct("page_id", item.alias("item")))).alias("i"))
+    body = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel>'), F.array_join("i.item", ""), F.lit("</channel></rss>"))
+    read = feeds_.select("feed", feeds.parsed_feed(body).alias("f"))
+    rows = read.select("feed", F.col("f.feed_type").alias("feed_type"), F.posexplode("f.entries").alias("slot", "e"))
+    return rows.select("feed", "slot", F.col("e.title").alias("title"), F.col("e.link").alias("link"), "feed_type", F.col("e.summary").alias("summary"))
+
+
+@query(
+    """SELECT n_nationkey, ['text/html', 'application/pdf', '', 'TEXT/HTML; charset=x', 'image/png', 'application/octet-stream'][n_nationkey % 6 + 1] AS content_type,
+       [true, false, true, true, false, true][n_nationkey % 6 + 1] AS may_be_html, ['PDF', 'PNG', NULL, 'gzip', 'ISO media (mp4)', 'JPEG', NULL][n_nationkey % 7 + 1] AS format,
+       [NULL, NULL, 'UTF-8', NULL, NULL, NULL, 'UTF-16LE'][n_nationkey % 7 + 1] AS mark FROM nation"""
+)
+def html_gates(spark, sf_dir):
+    key = F.col("n_nationkey")
+    types = F.array(*map(F.lit, ("text/html", "application/pdf", "", "TEXT/HTML; charset=x", "image/png", "application/octet-stream")))
+    heads = F.array(*map(F.lit, ("255044462D31", "89504E470D0A", "EFBBBF3C70", "1F8B0800", "0000002066747970", "FFD8FFE0", "FFFE3C00")))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.get(types, (key % 6).cast("int")).alias("content_type"), F.unhex(F.get(heads, (key % 7).cast("int"))).alias("body"))
+    return rows.select("n_nationkey", "content_type", http.may_be_html(F.col("content_type")).alias("may_be_html"), http.binary_format(F.col("body")).alias("format"), http.byte_order_mark(F.col("body")).alias("mark"))
+
+
+@query(
+    """WITH f AS (SELECT page_id, url FROM pages WHERE page_id % 3 = 0), r AS (SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM f) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)
+    SELECT page_id, url, 0 AS part FROM f UNION ALL SELECT page_id, url, 1 FROM r"""
+)
+def run_candidates(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    offered = pages.filter("page_id % 3 = 0")
+    return planning.candidates(offered, versioning.not_planned(pages, offered, "url", "page_id"), "page_id")
+
+
+@query(
+    """WITH f AS (SELECT user_id % 5 AS origin, ts, event_id FROM events WHERE event_id % 50 = 0), q AS (SELECT event_id, user_id % 5 AS origin, ts FROM events)
+    SELECT q.event_id, CASE WHEN q.ts < f.ts + INTERVAL 6 HOUR THEN f.event_id END AS rules FROM q LEFT JOIN f ON f.origin = q.origin AND f.ts <= q.ts
+    QUALIFY row_number() OVER (PARTITION BY q.event_id ORDER BY f.ts DESC NULLS LAST) = 1"""
+)
+def robots_cache(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("origin"), "ts")
+    fetches = log.filter("event_id % 50 = 0").select("origin", F.col("ts").alias("fetched_at"), F.col("event_id").alias("rules"))
+    return robots.cached_at(log, fetches, "origin", "ts", "fetched_at", ["rules"], "6 HOURS").select("event_id", "rules")
 
 
 @query(

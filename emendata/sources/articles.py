@@ -118,11 +118,16 @@ def title_of(document: Node) -> str:
 
 def _drop(node: Node, unwanted) -> None:
     """Remove elements below that are unwanted; what goes with its parent is not looked at."""
-    for child in [x for x in node.children if isinstance(x, Node)]:
-        if unwanted(child):
-            child.remove()
-        else:
-            _drop(child, unwanted)
+    stack = [node]
+    while stack:
+        parent = stack.pop()
+        gone = {id(x) for x in parent.children if isinstance(x, Node) and unwanted(x)}
+        if gone:
+            for x in parent.children:
+                if id(x) in gone:
+                    x.parent = None
+            parent.children = [x for x in parent.children if id(x) not in gone]
+        stack += [x for x in reversed(parent.children) if isinstance(x, Node)]
 
 
 def _structural(node: Node) -> bool:
@@ -193,9 +198,11 @@ def content_root(document: Node) -> Node:
 
 def extract(html: str | None) -> tuple[str, list[str]]:
     """Title and paragraphs; a page that cannot be made sense of is a page without content."""
-    if html is None or not html.strip():
-        return "", []
-    document = parse(html)
+    return extract_from(parse(html)) if html and html.strip() else ("", [])
+
+
+def extract_from(document: Node) -> tuple[str, list[str]]:
+    """``extract`` of a parsed page, whose tree is used up."""
     title = title_of(document)
     _drop(document, _structural)
     holds = {id(x) for n in document.walk() if _any_root(n) for x in (n, *n.above())}
@@ -207,9 +214,12 @@ def extract(html: str | None) -> tuple[str, list[str]]:
 
 def declared_canonical(html: str | None, base: str | None) -> str | None:
     """The absolute address of the first link that calls itself canonical; none if that is not http(s)."""
-    if not html or not html.strip():
-        return None
-    for node in parse(html).walk():
+    return canonical_in(parse(html), base) if html and html.strip() else None
+
+
+def canonical_in(document: Node, base: str | None) -> str | None:
+    """``declared_canonical`` of a parsed page."""
+    for node in document.walk():
         if node.tag == "link" and "href" in node.attrs and "canonical" in node.attrs.get("rel", "").lower().split():
             try:
                 found = urljoin(base or "", node.attrs["href"].strip())
@@ -219,6 +229,16 @@ def declared_canonical(html: str | None, base: str | None) -> str | None:
     return None
 
 
+def read_page(html: str | None, base: str | None) -> dict:
+    """title, paragraphs and canonical of a page, whose tree is built once."""
+    if not html or not html.strip():
+        return {"title": "", "paragraphs": [], "canonical": None}
+    document = parse(html)
+    canonical = canonical_in(document, base)
+    title, paragraphs = extract_from(document)
+    return {"title": title, "paragraphs": paragraphs, "canonical": canonical}
+
+
 ARTICLE = "struct<title:string,paragraphs:array<string>,canonical:string>"
 
 
@@ -228,11 +248,7 @@ def article(html: Column, url: Column | None = None) -> Column:
 
     @F.arrow_udf(ARTICLE)
     def run(pages, bases):
-        rows = []
-        for page, base in zip(pages, bases, strict=True):
-            page, base = page.as_py(), base.as_py()
-            title, paragraphs = extract(page)
-            rows.append({"title": title, "paragraphs": paragraphs, "canonical": declared_canonical(page, base)})
+        rows = [read_page(page.as_py(), base.as_py()) for page, base in zip(pages, bases, strict=True)]
         kind = pa.struct([("title", pa.string()), ("paragraphs", pa.list_(pa.string())), ("canonical", pa.string())])
         return pa.array(rows, kind)
 

@@ -104,6 +104,11 @@ class _Builder(HTMLParser):
         if tag == "p":  # an end without a start is an empty paragraph
             self.open[-1].children.append(Node("p", {}, self.open[-1]))
 
+    def parse_marked_section(self, i, report=1):
+        """What begins like a marked section is a comment up to the next bracket."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         self.open[-1].children.append(data)
 

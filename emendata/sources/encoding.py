@@ -15,7 +15,16 @@ PRESCAN = 4096
 # Labels that mean windows-1252 on the web.
 LATIN_1 = "iso-8859-1 iso8859-1 iso8859_1 iso_8859-1 iso_8859_1 latin1 l1 8859_1 819 cp819 ibm819 ibm-819 csisolatin1".split()
 #: How Python's codecs are called in verdicts, where that is not the name in capitals.
-NAMES = {"cp1252": "windows-1252", "utf-8": "UTF-8", "iso8859-1": "ISO-8859-1", "ascii": "US-ASCII"}
+NAMES = {"cp1252": "windows-1252", "utf-8": "UTF-8", "iso8859-1": "ISO-8859-1", "ascii": "US-ASCII", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE", "utf-32-be": "UTF-32BE", "utf-32-le": "UTF-32LE"}
+
+# The codecs that pages are written in; others that Python knows are no charsets of the web.
+WEB_CODECS = frozenset(
+    "ascii utf-8 utf-16 utf-16-le utf-16-be utf-32 utf-32-le utf-32-be cp866 cp437 cp850 cp852 cp855 cp874 "
+    "cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 iso8859-1 iso8859-2 iso8859-3 iso8859-4 iso8859-5 "
+    "iso8859-6 iso8859-7 iso8859-8 iso8859-9 iso8859-10 iso8859-11 iso8859-13 iso8859-14 iso8859-15 iso8859-16 "
+    "tis-620 koi8-r koi8-u mac-roman mac-cyrillic gb2312 gbk gb18030 hz big5 big5hkscs cp950 euc_jp shift_jis cp932 "
+    "iso2022_jp iso2022_kr euc_kr cp949 johab".split()
+)
 
 DECODED = "struct<text:string,charset:string,source:string,replaced:boolean,warnings:array<string>>"
 
@@ -25,7 +34,7 @@ def _codec(label: str) -> str | None:
         info = codecs.lookup(label.strip())
     except (LookupError, ValueError):
         return None
-    return info.name if info._is_text_encoding else None
+    return info.name if info.name in WEB_CODECS else None
 
 
 def _shown(codec: str) -> str:
@@ -82,7 +91,7 @@ def decode(body: bytes | None, content_type: str | None) -> dict:
     data, replaced = body[len(mark[1]) if mark else 0 :], False
     try:
         text = data.decode(codec)
-    except UnicodeDecodeError:
+    except UnicodeError:
         warnings.append(f"the bytes are not valid {_shown(codec)}, which {SOURCES[source]} declared; characters were replaced")
         text, replaced = data.decode(codec, "replace"), True
     return {"text": text.removeprefix("\ufeff"), "charset": _shown(codec), "source": source, "replaced": replaced, "warnings": warnings}

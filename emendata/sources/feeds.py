@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import os
 import re
-from html.entities import name2codepoint
-from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,6 @@ GUID = ("guid", "id")
 ENTRIES = ("item", "entry")
 OTHER_RELATIONS = ("self", "enclosure", "edit", "replies", "hub")
 ATOM_03 = "http://purl.org/atom/ns#"
-XML_ENTITIES = {"amp", "lt", "gt", "quot", "apos"}
 
 ENTRY = "struct<title:string,link:string,summary:string,published_raw:string,updated_raw:string,guid:string>"
 FEED = f"struct<feed_type:string,failure:string,entries:array<{ENTRY}>,skipped:array<string>>"
@@ -29,40 +27,80 @@ def _local(name: str) -> str:
 
 
 class _Element:
+    """An element; ``closed`` once its end tag has come. All walks are loops, so depth does not matter."""
+
     def __init__(self, name: str, attrs: dict[str, str]):
-        self.name, self.tag, self.attrs, self.children, self.pieces = _local(name), name, attrs, [], []
+        self.name, self.tag, self.attrs, self.pieces, self.closed = _local(name), name, attrs, [], False
+
+    @property
+    def children(self) -> list[_Element]:
+        return [p for p in self.pieces if isinstance(p, _Element)]
+
+    def _written(self, begin, end) -> str:
+        out, stack = [], list(reversed(self.pieces))
+        while stack:
+            piece = stack.pop()
+            if isinstance(piece, str):
+                out.append(piece)
+            else:
+                stack += [end(piece), *reversed(piece.pieces), begin(piece)]
+        return "".join(out)
 
     def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.pieces)
+        return self._written(lambda x: "", lambda x: "")
 
     def markup(self) -> str:
-        inner = "".join(p if isinstance(p, str) else f"<{p.tag}>{p.markup()}</{p.tag}>" for p in self.pieces)
-        return inner
+        return self._written(lambda x: f"<{x.tag}>", lambda x: f"</{x.tag}>")
 
     def below(self):
-        for child in self.children:
-            yield child
-            yield from child.below()
+        stack = self.children[::-1]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += node.children[::-1]
+
+
+# What XML is made of, in the order in which it is tried: comments, character data, instructions, declarations, tags.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<![A-Za-z](?:[^<>\[]|\[.*?\])*>"
+    r"|</\s*(?P<end>[^\s<>/]+)[^>]*>|<(?P<start>[A-Za-z_][^\s<>/=]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+
+
+def unescape(text: str) -> str:
+    """Numbers and names of HTML between & and ;, anything else as it is written: &region=x stays what it is."""
+    return re.sub(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);", lambda m: html.unescape(m[0]), text)
 
 
 def _tree(body: str) -> _Element:
-    """The tree under a nameless top element; raises expat.ExpatError for what is not well formed."""
+    """The tree under a nameless top element.
+
+    Lenient: a bare ampersand and names of HTML stand for what they look like, an end tag without a start is passed
+    over, and an end tag ends what is open inside its element, which then is not ``closed``.
+    """
     top = _Element("", {})
+    top.closed = True
     stack = [top]
-
-    def start(name, attrs):
-        node = _Element(name, attrs)
-        stack[-1].children.append(node)
-        stack[-1].pieces.append(node)
-        stack.append(node)
-
-    parser = expat.ParserCreate()
-    parser.StartElementHandler = start
-    parser.EndElementHandler = lambda name: stack.pop()
-    parser.CharacterDataHandler = lambda data: stack[-1].pieces.append(data)
-    named = lambda m: m[0] if m[1] in XML_ENTITIES or m[1] not in name2codepoint else f"&#{name2codepoint[m[1]]};"
-    body = re.sub(r"^\s*<\?xml[^>]*\?>", "", body.lstrip("\ufeff").lstrip())
-    parser.Parse(re.sub(r"&(\w+);", named, body).encode(), True)
+    for m in TOKEN.finditer(body.lstrip("\ufeff")):
+        if m["data"] is not None:
+            stack[-1].pieces.append(m["data"])
+        elif m["text"] is not None:
+            stack[-1].pieces.append(unescape(m["text"]))
+        elif m["end"]:
+            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == m["end"]), None)
+            if at is not None:
+                stack[at].closed = True
+                del stack[at:]
+        elif m["start"]:
+            found = ((name, next(v for v in values if v is not None)) for name, *values in ((x[1], x[2], x[3], x[4]) for x in ATTRIBUTE.finditer(m["attrs"])))
+            node = _Element(m["start"], {name: unescape(value) for name, value in found})
+            stack[-1].pieces.append(node)
+            if m["attrs"].rstrip().endswith("/"):
+                node.closed = True
+            else:
+                stack.append(node)
     return top
 
 
@@ -76,21 +114,19 @@ def _first(item: _Element, names: tuple[str, ...], markup: bool = False) -> str
 
 
 def _link(item: _Element) -> str | None:
-    other = None
-    for child in item.children:
-        if child.name != "link":
-            continue
+    """The best of the links: text between tags and plain or alternate addresses rank alike, other relations last."""
+    ranked = []
+    for place, child in enumerate(x for x in item.children if x.name == "link"):
+        relation = child.attrs.get("rel", "").strip().lower()
         if "href" not in child.attrs:
-            if found := child.text().strip():
-                return found
-            continue
-        href, relation = child.attrs["href"].strip(), child.attrs.get("rel", "").strip().lower()
-        if not href or relation in OTHER_RELATIONS:
+            target, rank = child.text().strip(), 0
+        elif relation in OTHER_RELATIONS:
             continue
-        if relation in ("", "alternate"):
-            return href
-        other = other or href
-    return other
+        else:
+            target, rank = child.attrs["href"].strip(), int(relation not in ("", "alternate"))
+        if target:
+            ranked.append((rank, place, target))
+    return min(ranked)[2] if ranked else None
 
 
 def _kind(root: _Element) -> str | None:
@@ -106,17 +142,14 @@ def parse_feed(body: str | None) -> dict:
     out = {"feed_type": None, "failure": None, "entries": [], "skipped": []}
     if body is None or not body.strip():
         return out | {"failure": "empty body"}
-    try:
-        top = _tree(body)
-    except expat.ExpatError as e:
-        start = re.match(r"\s*(?:<\?[^>]*\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([A-Za-z][\w:.-]*)", body.lstrip("\ufeff"), re.S)
-        if start is None or _kind(_Element(start[1], {})) is None:
-            return out | {"failure": f"not a feed: root element is {f'<{start[1]}>' if start else 'absent'}"}
-        return out | {"failure": f"malformed XML: {e}"}
-    root = top.children[0]
-    kind = _kind(root)
+    top = _tree(body)
+    root = next(iter(top.children), None)
+    kind = _kind(root) if root else None
     if kind is None:
-        return out | {"failure": f"not a feed: root element is <{root.tag}>"}
+        return out | {"failure": f"not a feed: root element is {f'<{root.tag}>' if root else 'absent'}"}
+    torn = next((x for x in top.below() if not x.closed), None)
+    if torn is not None:
+        return out | {"failure": f"malformed XML: <{torn.tag}> is never closed"}
     for i, item in enumerate(x for x in top.below() if x.name in ENTRIES):
         title, link = _first(item, ("title",)), _link(item)
         if link is None:

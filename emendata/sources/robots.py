@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from emendata.operators.versioning import as_of_join
 from pyspark.sql.window import Window
 
 
@@ -58,3 +60,14 @@ def verdicts(targets: DataFrame, known: DataFrame, key: str, target: str) -> Dat
     fits = F.filter("_rules", lambda r: F.regexp_like(F.col(target), r["regex"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"], r["allow"])))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_k", "_rules")
+
+
+def cached_at(requests: DataFrame, fetches: DataFrame, origin: str, at: str, fetched_at: str, rules: list[str], ttl: str) -> DataFrame:
+    """``requests`` with the columns ``rules`` of the newest fetch of their origin's file, null once it is older than ``ttl``.
+
+    An as-of join: one shuffle by origin, where the newest fetch before each request is carried along.
+    """
+    seen = fetches.withColumn("_fetched", F.col(fetched_at)).withColumn("version_number", F.lit(1))
+    joined = as_of_join(requests, seen, origin, at, fetched_at, [*rules, "_fetched"])
+    fresh = F.col(at) < F.col("_fetched") + F.expr(f"INTERVAL {ttl}")
+    return joined.select(*requests.columns, *[F.when(fresh, F.col(c)).alias(c) for c in rules])

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from emendata.sources.articles import ARTICLE, declared_canonical, extract
+from emendata.sources.articles import ARTICLE, read_page
 from emendata.sources.encoding import DECODED, decode
 from emendata.sources.feeds import parse_feed
 
@@ -17,10 +17,7 @@ def register(spark: SparkSession) -> list[str]:
 
     @F.arrow_udf(ARTICLE)
     def extract_article(html, url):
-        rows = []
-        for page, base in zip(html.to_pylist(), url.to_pylist(), strict=True):
-            title, paragraphs = extract(page)
-            rows.append({"title": title, "paragraphs": paragraphs, "canonical": declared_canonical(page, base)})
+        rows = [read_page(page, base) for page, base in zip(html.to_pylist(), url.to_pylist(), strict=True)]
         return pa.array(rows, pa.struct([("title", pa.string()), ("paragraphs", pa.list_(pa.string())), ("canonical", pa.string())]))
 
     @F.arrow_udf(DECODED)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
@@ -55,12 +56,45 @@ def stateful_strikes(attempts: DataFrame) -> DataFrame:
     )
 
 
-def requests_per_hour(checks: DataFrame, host: str, at: str, late: str = "10 minutes") -> DataFrame:
-    """Requests per host and clock hour of a stream; what comes later than ``late`` is not counted any more."""
-    counted = checks.withWatermark(at, late).groupBy(F.window(at, "1 hour"), host).agg(F.count("*").alias("requests"))
+def stateful_claim_strikes(results: DataFrame) -> DataFrame:
+    """Claims in a row that fetches did not confirm, of a stream of (feed, at, changed): feed, at, unconfirmed_claims.
+
+    One confirmation in a trigger clears the count, as one in a run does; else the fetches of the trigger are added.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (count,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches))
+        count = 0 if rows["changed"].any() else min(count + len(rows), 2**31 - 1)
+        state.update((count,))
+        yield pd.DataFrame([(key[0], rows["at"].max(), count)], columns=["feed", "at", "unconfirmed_claims"])
+
+    return results.groupBy("feed").applyInPandasWithState(
+        step, "feed long, at timestamp, unconfirmed_claims long", "count long", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def requests_per_hour(checks: DataFrame, host: str, at: str, late: str = "10 minutes", slide: str = "1 hour") -> DataFrame:
+    """Requests per host and hour of a stream, an hour beginning every ``slide``; what is later than ``late`` is not counted."""
+    counted = checks.withWatermark(at, late).groupBy(F.window(at, "1 hour", slide), host).agg(F.count("*").alias("requests"))
     return counted.select(host, F.col("window.start").alias("hour"), "requests")
 
 
+class AlreadyRunning(RuntimeError):
+    """A run was asked for while one of that name goes on."""
+
+
+def run_every(stream: DataFrame, name: str, run, checkpoint: str, interval: str | None = "30 seconds") -> StreamingQuery:
+    """Start ``run(batch, number)`` over the stream, every ``interval``, or once over what is there (None).
+
+    One run at a time: while a query of this name is active another is refused.
+    """
+    if any(q.name == name for q in stream.sparkSession.streams.active):
+        raise AlreadyRunning(name)
+    writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(run)
+    return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
+
+
 def merge_into(store: str):
     """A foreachBatch function that appends a batch's revisions to the table at ``store``.
 

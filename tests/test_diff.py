@@ -101,3 +101,30 @@ def test_deterministic(spark):
     new = old[:]
     r.shuffle(new)
     assert compared(spark, old, new[:25]) == compared(spark, old, new[:25])
+
+
+def test_edit_scripts_are_shortest_and_leave_equal_stretches():
+    r = random.Random(11)
+    for _ in range(300):
+        a = [r.choice("abcdx") for _ in range(r.randrange(0, 14))]
+        b = [r.choice("abcdy") for _ in range(r.randrange(0, 14))]
+        gaps, i, j, kept = D.myers(a, b), 0, 0, 0
+        for g, g2, h, h2 in [*gaps, (len(a), len(a), len(b), len(b))]:
+            assert g - i == h - j >= 0 and a[i:g] == b[j:h]
+            kept, i, j = kept + g - i, g2, h2
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for p, q in enumerate(a):
+            for s, t in enumerate(b):
+                table[p + 1][s + 1] = table[p][s] + 1 if q == t else max(table[p][s + 1], table[p + 1][s])
+        assert kept == table[-1][-1]
+
+
+def test_texts_without_a_common_word_cost_nothing():
+    a, b = [f"a{i}" for i in range(20_000)], [f"b{i}" for i in range(20_000)]
+    assert D.myers(a, b) == [(0, 20_000, 0, 20_000)]
+
+
+def test_spelling_by_composition_is_no_change(spark):
+    rows = spark.createDataFrame([(1, 1, "t", ["caf\u00e9 one"]), (1, 2, "t", ["cafe\u0301 one"]), (1, 3, "t", ["tea one"])], "doc int, version_number int, title string, paragraphs array<string>")
+    found = {r.to_version: r.diff for r in D.diffs_of_revisions(rows, "doc", "title", "paragraphs").collect()}
+    assert found[2].paragraphs == [] and len(found[3].paragraphs) == 1

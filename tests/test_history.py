@@ -87,6 +87,28 @@ def test_streamed_counts(spark, tmp_path):
     assert all(r.requests == 3 for r in spark.table("hours").collect())
 
 
+def test_claim_strikes_and_single_runs_of_a_stream(spark, tmp_path):
+    rows = [(1, T0, False), (1, T0 + dt.timedelta(hours=1), False), (2, T0, False), (2, T0, True)]
+    spark.createDataFrame(rows, "feed long, at timestamp, changed boolean").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("feed long, at timestamp, changed boolean").parquet(str(tmp_path / "in"))
+    q = H.stateful_claim_strikes(source).writeStream.format("memory").queryName("claims").outputMode("update").option("checkpointLocation", str(tmp_path / "e")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.feed: r.unconfirmed_claims for r in spark.table("claims").collect()} == {1: 2, 2: 0}
+    counts = []
+    q = H.run_every(source, "run", lambda batch, n: counts.append(batch.count()), str(tmp_path / "f"))
+    with pytest.raises(H.AlreadyRunning):
+        H.run_every(source, "run", lambda batch, n: None, str(tmp_path / "g"))
+    q.processAllAvailable()
+    q.stop()
+    H.run_every(source, "run", lambda batch, n: counts.append(batch.count()), str(tmp_path / "h"), None).awaitTermination(60)
+    assert counts == [4, 4]
+    q = H.requests_per_hour(source, "feed", "at", slide="30 minutes").writeStream.format("memory").queryName("sliding").outputMode("complete").option("checkpointLocation", str(tmp_path / "i")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("sliding").agg(F.sum("requests")).first()[0] == 8
+
+
 def test_listing_bounds(spark):
     rows = [(i, 2 + i % 3, T0 + dt.timedelta(hours=i) if i % 5 else None, T0) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc long, version_count long, last_changed_at timestamp, first_seen_at timestamp")

@@ -147,3 +147,26 @@ def test_captures(spark):
     assert stored.count() == 2 and captures.new_pages(pages, "html", stored.limit(1)).count() == 1
     assert stored.filter(captures.legal_ref(F.col("ref"))).count() == 2
     assert spark.createDataFrame([("../x",)], "ref string").filter(captures.legal_ref(F.col("ref"))).count() == 0
+
+
+def test_awkward_bytes_and_pages():
+    for label in ("undefined", "idna", "punycode", "unicode_escape", "utf-7", "rot13", "\x00", "x" * 500):
+        got = encoding.decode(b"<p>plain", f"text/html; charset={label}")
+        assert (got["text"], got["source"]) == ("<p>plain", "DEFAULT") and len(got["warnings"]) == 1
+    assert encoding.decode(b"\xfe\xff\x00a\xd8", None)["replaced"]
+    deep = "<div>" * 3000 + "<p>Deep down there is a paragraph with enough words to be prose.</p>"
+    assert articles.extract(deep)[1] == ["Deep down there is a paragraph with enough words to be prose."]
+    assert articles.extract("<p>A paragraph with enough words to be prose <![xx and a mark in it> goes on to its end.</p>")[1]
+    for cut in ("<![", "<![CDATA[x", "<!", "<!--", "<", "</", "<a href='", "<?"):
+        articles.read_page("<p>text</p>" + cut, "https://x.org/")
+
+
+def test_lenient_feeds():
+    item = "<item><title>A & B &amp; C &eacute; &region=1</title><link>http://x.org/?a=1&ref=2</link><description><![CDATA[1 &nbsp; <b>2</b>]]></description></item>"
+    got = feeds.parse_feed(f"<!DOCTYPE rss [<!ENTITY a 'b'>]><!-- <item> --><rss version='2.0'><channel>{item}</b></channel></rss>")
+    assert got["failure"] is None
+    (entry,) = got["entries"]
+    assert entry["title"] == "A & B & C \u00e9 &region=1" and entry["link"] == "http://x.org/?a=1&ref=2" and entry["summary"] == "1 &nbsp; <b>2</b>"
+    deep = "<x>" * 3000 + item + "</x>" * 3000
+    assert len(feeds.parse_feed(f"<rss><channel>{deep}</channel></rss>")["entries"]) == 1
+    assert feeds.parse_feed("<rss><channel><item><b>torn</item></channel></rss>")["failure"] == "malformed XML: <b> is never closed"
