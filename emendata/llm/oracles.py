@@ -25,9 +25,10 @@ def _canonical(column: str) -> str:
 
 def license_scan() -> str:
     values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licences.CATALOGUE)
+    longs = ", ".join(f"({quoted(b)}, {quoted(a)})" for a, b in licences.LONG_TEXTS)
     return f"""
     WITH form AS (SELECT id, {_canonical('t')} AS f FROM (VALUES {values}) v(id, t)),
-    known AS (SELECT sha256(f) AS k, min(id) AS id FROM form WHERE f <> '' GROUP BY 1),
+    known AS (SELECT k, min(id) AS id FROM (SELECT sha256(f) AS k, id FROM form WHERE f <> '' UNION ALL SELECT * FROM (VALUES {longs})) GROUP BY 1),
     whole AS (SELECT doc_id, {_canonical('text')} AS f FROM documents),
     cut AS (SELECT doc_id, {_canonical('line')} AS f
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
