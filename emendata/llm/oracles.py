@@ -131,8 +131,10 @@ def url_filter() -> str:
     d AS (SELECT doc_id, max(((coalesce(quality, 1) = 0) OR (coalesce(toxic, 0) = 1))::INT) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
     o AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM p JOIN d
           ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.html)?/?$', 1), '') AS BIGINT) GROUP BY 1),
-    h AS (SELECT DISTINCT p.host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, string_split(p.host, '.') AS s FROM p LEFT JOIN o ON p.host = o.host),
-    x AS (SELECT host, n, bad, s[-1] AS suffix, CASE WHEN len(s) >= 2 THEN s[-2] || '.' || s[-1] ELSE host END AS domain FROM h),
+    h AS (SELECT DISTINCT p.host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, regexp_replace(regexp_replace(p.host, '^[^@]*@', ''), ':[0-9]*$', '') AS bare FROM p LEFT JOIN o ON p.host = o.host),
+    i AS (SELECT host, n, bad, bare, string_split(bare, '.') AS s, regexp_matches(bare, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$|^\[') AS numeric FROM h),
+    j AS (SELECT *, CASE WHEN len(s) > 2 AND length(s[-1]) = 2 AND s[-2] IN ({", ".join(map(quoted, urls.SECOND_LABELS))}) THEN 2 ELSE 1 END AS k FROM i),
+    x AS (SELECT host, n, bad, CASE WHEN numeric THEN '[]' ELSE array_to_string(s[-k:], '.') END AS suffix, CASE WHEN numeric THEN bare ELSE array_to_string(s[-(k + 1):], '.') END AS domain FROM j),
     dom AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM x GROUP BY 1, 2),
     suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dom GROUP BY 1),
     {strength('ks', 'suf')}, {strength('kd', 'dom')}, {strength('kh', 'x')},

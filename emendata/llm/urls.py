@@ -18,6 +18,10 @@ MOST_RULES = 500
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# Second labels under which names are registered in countries that group them, as in example.co.uk.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
+
+
 class UrlRule(NamedTuple):
     verdict: str
     host: str
@@ -72,19 +76,29 @@ def strength(groups: DataFrame) -> tuple[float, float]:
     return mean, 1 / rho - 1
 
 
-def reputations(hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def registered(host: str, second_labels: tuple[str, ...] = SECOND_LABELS) -> tuple[Column, Column, Column]:
+    """Labels, registered domain and suffix of a host; credentials and port do not belong to either.
+
+    The suffix is the last label, or the last two where the last has two letters and the one before is one of
+    ``second_labels``; the registered domain has one label more. A numeric address is a domain of its own under a
+    suffix of its own kind, as is a host of one label.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.col(host), r"^[^@]*@", ""), r":[0-9]*$", "")
+    numeric = bare.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[")
+    names = F.split(bare, r"\.")
+    two = (F.length(F.element_at(names, -1)) == 2) & F.get(names, F.size(names) - 2).isin(*second_labels) & (F.size(names) > 2)
+    n = F.when(numeric, 0).when(two, 2).otherwise(1)
+    last = lambda k: F.concat_ws(".", F.slice(names, F.greatest(F.lit(1), F.size(names) - k + 1), k))
+    return names, F.when(numeric, bare).otherwise(last(n + 1)), F.when(numeric, F.lit("[]")).otherwise(last(n))
+
+
+def reputations(hosts: DataFrame, z: float = 1.645, second_labels: tuple[str, ...] = SECOND_LABELS) -> DataFrame:
     """Posterior of each host: host, n, bad, mean, bound (mean less z standard deviations).
 
     ``hosts`` has one row per host with n and bad; hosts without labels inherit from their domain, suffix, and all.
     """
-    names = F.split("host", r"\.")
-    level = hosts.select(
-        "host",
-        "n",
-        "bad",
-        F.element_at(names, -1).alias("suffix"),
-        F.when(F.size(names) >= 2, F.concat_ws(".", F.element_at(names, -2), F.element_at(names, -1))).otherwise(F.col("host")).alias("domain"),
-    )
+    _, domain, suffix = registered("host", second_labels)
+    level = hosts.select("host", "n", "bad", suffix.alias("suffix"), domain.alias("domain"))
     level = durable(level)
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = durable(level.groupBy("domain", "suffix").agg(*sums))
