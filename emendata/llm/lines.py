@@ -25,10 +25,14 @@ from emendata.llm.common import discard, joined_by_shuffle, let, release, row_ke
 
 MIN_WORDS = 50
 BEFORE = (Window.unboundedPreceding, -1)
+#: Added to the ranks of suffixes that are read backwards.
+BACKWARDS = 1 << 61
+#: Steps of the common prefixes that are taken in one job.
+LEVELS = 3
 
 
 def prefix_sums(rows: DataFrame, order: list[Column], value: Column) -> DataFrame:
-    """``rows``, which are stored, with _before, the sum of ``value`` over all rows that stand before in ``order``.
+    """``rows``, which are read twice, with _before, the sum of ``value`` over all rows that stand before in ``order``.
 
     Rows are dealt by range, so that no key and no prefix of the order has to fit one task; the sums of the ranges, one
     number per partition, are summed up by themselves.
@@ -87,21 +91,20 @@ def repeated_lines(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
     return placed, bases
 
 
-def suffixes(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
-    """The state before the first round: s, g, base, end, m, rank, done, open.
+def suffixes(lines: DataFrame, min_words: int) -> DataFrame:
+    """The state before the first round: s, g, base, end, m, rank, done, open; stored.
 
-    s counts lines in reading direction, end is the s of the stretch's last line, m how many lines from here hold
-    ``min_words`` words (null: the stretch has not so many), done whether the ordered lines do.
+    s counts lines in reading direction, from 0 forwards and below 0 backwards, and ranks of the two directions have
+    nothing in common, so both arrays are built at once. end is the s of the stretch's last line, m how many lines from
+    here hold ``min_words`` words (null: the stretch has not so many), done whether the ordered lines do.
     """
-    if backwards:
-        s, end, v = -F.col("g"), -F.col("low"), F.col("total") - F.col("v") - F.col("w")
-    else:
-        s, end, v = F.col("g"), F.col("high"), F.col("v")
-    rows = lines.select(s.alias("s"), "g", "base", end.alias("end"), v.alias("v"), "w", "rank")
+    forwards = lines.select(F.col("g").alias("s"), "g", "base", F.col("high").alias("end"), "v", "w", "rank")
+    v = F.col("total") - F.col("v") - F.col("w")
+    backwards = lines.select((-1 - F.col("g")).alias("s"), "g", "base", (-1 - F.col("low")).alias("end"), v.alias("v"), "w", (F.col("rank") + BACKWARDS).alias("rank"))
     # The line that holds the last of the words is the last with fewer than min_words words before it.
     ahead = Window.partitionBy("end").orderBy("v").rangeBetween(0, min_words - 1)
     last, held = F.max("s").over(ahead), F.max(F.col("v") + F.col("w")).over(ahead)
-    rows = rows.withColumn("m", F.when(held - F.col("v") >= min_words, last - F.col("s") + 1))
+    rows = forwards.unionByName(backwards).withColumn("m", F.when(held - F.col("v") >= min_words, last - F.col("s") + 1))
     done = F.coalesce(F.col("m") <= 1, F.lit(False))
     return stored(rows.select("s", "g", "base", "end", "m", "rank", done.alias("done"), (~done).alias("open")))
 
@@ -112,8 +115,7 @@ def doubled(state: DataFrame, step: int) -> DataFrame:
     ahead = (F.col("s") + step == F.col("_s")) & (F.col("s") + step <= F.col("end"))
     both = state.filter("open").join(second, ahead, "left").withColumn("_r", F.coalesce("_r", F.lit(-1))).drop("_s")
     both = stored(both)
-    counts = stored(both.groupBy("rank", "_r").agg(F.count("*").alias("_c")))
-    pairs = prefix_sums(counts, [F.col("rank"), F.col("_r")], F.col("_c"))
+    pairs = prefix_sums(both.groupBy("rank", "_r").agg(F.count("*").alias("_c")), [F.col("rank"), F.col("_r")], F.col("_c"))
     first = pairs.groupBy(F.col("rank").alias("_of")).agg(F.min("_before").alias("_first"))
     new = pairs.join(first, F.col("rank") == F.col("_of"))
     new = new.select(F.col("rank").alias("_rank"), F.col("_r").alias("_second"), (F.col("rank") + F.col("_before") - F.col("_first")).alias("_new"), "_c")
@@ -121,13 +123,13 @@ def doubled(state: DataFrame, step: int) -> DataFrame:
     done = F.coalesce(F.col("_d"), F.lit(False)) | F.coalesce(F.col("m") <= 2 * step, F.lit(False))
     moved = moved.select("s", "g", "base", "end", "m", F.col("_new").alias("rank"), done.alias("done"), (~done & (F.col("_c") > 1) & (F.col("_r") >= 0)).alias("open"))
     out = stored(state.filter("NOT open").unionByName(moved))
-    discard(both, counts, pairs)
+    discard(both, pairs)
     return out
 
 
-def rounds(lines: DataFrame, min_words: int, backwards: bool) -> list[DataFrame]:
+def rounds(lines: DataFrame, min_words: int) -> list[DataFrame]:
     """The states of all rounds: in the last one no bucket is open."""
-    states = [suffixes(lines, min_words, backwards)]
+    states = [suffixes(lines, min_words)]
     while not states[-1].filter("open").isEmpty():
         states.append(doubled(states[-1], 1 << (len(states) - 1)))
     return states
@@ -135,42 +137,44 @@ def rounds(lines: DataFrame, min_words: int, backwards: bool) -> list[DataFrame]
 
 def intervals(states: list[DataFrame]) -> DataFrame:
     """rank and interval (_before + _cut): the LCP intervals of ``min_words`` words over the buckets of the suffix array."""
-    buckets = stored(states[-1].filter("m IS NOT NULL").groupBy("rank").agg(F.min(F.struct("s", "m")).alias("_x")).select("rank", "_x.*"))
+    buckets = states[-1].filter("m IS NOT NULL").groupBy("rank").agg(F.min(F.struct("s", "m")).alias("_x")).select("rank", "_x.*")
     numbered = prefix_sums(buckets, [F.col("rank")], F.lit(1))
     placed = numbered.withColumnRenamed("_before", "i")
     left = placed.select(F.col("s").alias("p"), (F.col("i") + 1).alias("_i"))
     pairs = placed.join(left, F.col("i") == F.col("_i")).select("i", "p", F.col("s").alias("q"), "m", F.lit(0).alias("lcp"), F.lit(False).alias("same"))
-    pairs = stored(pairs)
+    held = None
     for k in reversed(range(len(states))):
         one = states[k].select(F.col("s").alias("_s1"), F.col("rank").alias("_r1"), "done")
         two = states[k].select(F.col("s").alias("_s2"), F.col("rank").alias("_r2"))
-        met = pairs.filter("NOT same AND lcp < m").join(one, F.col("p") + F.col("lcp") == F.col("_s1"), "left")
-        met = met.join(two, F.col("q") + F.col("lcp") == F.col("_s2"), "left")
+        short = ~F.col("same") & (F.col("lcp") < F.col("m"))
+        met = pairs.join(one, F.when(short, F.col("p") + F.col("lcp")) == F.col("_s1"), "left")
+        met = met.join(two, F.when(short, F.col("q") + F.col("lcp")) == F.col("_s2"), "left")
         equal = F.coalesce(F.col("_r1") == F.col("_r2"), F.lit(False))
-        met = met.select("i", "p", "q", "m", (F.col("lcp") + F.when(equal, 1 << k).otherwise(0)).alias("lcp"), (equal & F.col("done")).alias("same"))
-        next_ = stored(met.unionByName(pairs.filter("same OR lcp >= m")))
-        discard(pairs)
-        pairs = next_
+        pairs = met.select("i", "p", "q", "m", (F.col("lcp") + F.when(equal, 1 << k).otherwise(0)).alias("lcp"), (F.col("same") | (equal & F.col("done"))).alias("same"))
+        if k % LEVELS == 0:
+            before, held = held, stored(pairs)
+            pairs = held
+            if before is not None:
+                discard(before)
     joined = pairs.filter("same OR lcp >= m").select(F.col("i").alias("_j"), F.lit(0).alias("_cut"))
-    cut = stored(placed.join(joined, F.col("i") == F.col("_j"), "left").select("i", "rank", F.coalesce("_cut", F.lit(1)).alias("_cut")))
+    cut = placed.join(joined, F.col("i") == F.col("_j"), "left").select("i", "rank", F.coalesce("_cut", F.lit(1)).alias("_cut"))
     found = prefix_sums(cut, [F.col("i")], F.col("_cut"))
-    discard(buckets, numbered, pairs, cut)
+    discard(numbered, pairs)
     return found
 
 
-def copies(lines: DataFrame, min_words: int, backwards: bool) -> DataFrame:
+def copies(lines: DataFrame, min_words: int) -> DataFrame:
     """base, from, to (places, to excluded): the runs of ``min_words`` words at all but the first place of an interval."""
-    states = rounds(lines, min_words, backwards)
+    states = rounds(lines, min_words)
     found = intervals(states)
     own = found.select(F.col("rank").alias("_rank"), (F.col("_before") + F.col("_cut")).alias("interval"))
-    heads = states[-1].filter("m IS NOT NULL").select("g", "base", "m", "rank")
-    heads = stored(heads.join(own, F.col("rank") == F.col("_rank")).select("g", "base", "m", "interval"))
+    heads = states[-1].filter("m IS NOT NULL").select("s", "g", "base", "m", "rank")
+    heads = stored(heads.join(own, F.col("rank") == F.col("_rank")).select("s", "g", "base", "m", "interval"))
     first = heads.groupBy(F.col("interval").alias("_of")).agg(F.min("g").alias("_first"), F.max("g").alias("_last")).filter("_first < _last")
     later = heads.join(first, F.col("interval") == F.col("_of")).filter(F.col("g") > F.col("_first"))
-    begin = F.col("g") - F.col("m") + 1 if backwards else F.col("g")
+    begin = F.when(F.col("s") < 0, F.col("g") - F.col("m") + 1).otherwise(F.col("g"))
     out = stored(later.select("base", begin.alias("from"), (begin + F.col("m")).alias("to")))
     discard(heads, found, *states)
-    release(lines.sparkSession)
     return out
 
 
@@ -180,17 +184,18 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines, bases = repeated_lines(every, min_words)
     discard(every)
     release(docs.sparkSession)
-    runs = [copies(lines, min_words, backwards) for backwards in (False, True)]
+    runs = copies(lines, min_words)
     earlier = Window.partitionBy("base").orderBy("from", "to").rowsBetween(*BEFORE)
     apart = F.col("from") > F.coalesce(F.max("to").over(earlier), F.lit(-1))
     upto = Window.partitionBy("base").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = runs[0].unionByName(runs[1]).withColumn("_apart", apart.cast("int")).withColumn("_span", F.sum("_apart").over(upto))
+    spans = runs.withColumn("_apart", apart.cast("int")).withColumn("_span", F.sum("_apart").over(upto))
     spans = spans.groupBy("base", "_span").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     span = F.struct((F.col("from") - F.col("base")).cast("int").alias("from"), (F.col("to") - F.col("base")).cast("int").alias("to"))
     spans = spans.groupBy("base").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     out = bases.join(spans, F.col("_before") == F.col("base")).select(F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")).alias("_key"), "spans")
     out = stored(out)
-    discard(lines, bases, *runs)
+    discard(lines, bases, runs)
+    release(docs.sparkSession)
     return out
 
 
