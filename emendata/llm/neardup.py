@@ -6,8 +6,8 @@ with probability 1 - (1 - (1 - s^ROWS)^B)^2. B is the least that keeps this with
 0.80, 12 at 0.85.
 
 Nodes are distinct shingle sets; documents of equal sets are one node from the start. Every bucket has its most
-central member for a hub, and all members are compared with it. Where a bucket still holds more than one component,
-the members of all such buckets of one hub are its star. A star is dealt into blocks of bounded size, and every two
+central member for a hub; the members of all buckets of one hub are its star, and all are compared with the hub. A star
+that still holds more than one component is dealt into blocks of bounded size, and every two
 blocks of it meet once in one task, each set carried once: there a prefix filter and the components found so far leave
 few pairs, which are compared on full sets, and only links that join two components leave the task.
 """
@@ -118,29 +118,25 @@ def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def bucket_members(nodes: DataFrame) -> DataFrame:
-    """key, node, n for every tensored key that two nodes or more share."""
+def stars_of(nodes: DataFrame) -> DataFrame:
+    """hub, hub_n, node, n: the members of all buckets, each under the hub of its bucket, once per hub and node; durable.
+
+    A bucket is a tensored key that two nodes or more share. Its hub is the member that shares its first bands with
+    most nodes: it stands in the middle of its likes, and is the same in most buckets of a group.
+    """
     once = nodes.select("node", F.posexplode("first").alias("i", "g")).select("node", F.xxhash64("i", "g").alias("g"))
-    shared = durable(once.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("g").alias("_g")))
-    left = once.join(shared, F.col("g") == F.col("_g")).groupBy("node").agg(F.collect_set("g").alias("gs"))
+    shared = durable(once.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("g").alias("_g"), "c"))
+    left = once.join(shared, F.col("g") == F.col("_g")).groupBy("node").agg(F.collect_set("g").alias("gs"), (-F.sum("c")).alias("w"))
     wide = left.join(nodes.select("node", "n", "second"), "node")
-    wide = wide.select("node", "n", F.explode("gs").alias("g"), "second").select("node", "n", "g", F.posexplode("second").alias("j", "h"))
-    keyed = durable(wide.select(F.xxhash64("g", "j", "h").alias("key"), "node", "n"))
+    wide = wide.select("node", "n", "w", F.explode("gs").alias("g"), "second").select("node", "n", "w", "g", F.posexplode("second").alias("j", "h"))
+    keyed = durable(wide.select(F.xxhash64("g", "j", "h").alias("key"), "node", "n", "w"))
     # Buckets of the same members say the same: one of them stays.
     sums = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
-    common = keyed.groupBy("key").agg(F.count("*").alias("c"), *sums).filter("c > 1")
-    common = durable(common.groupBy("c", "s1", "s2").agg(F.min("key").alias("_key")).select("_key", "c"))
-    members = durable(keyed.join(common, F.col("key") == F.col("_key")).drop("_key"))
-    # A node in many and large buckets stands in the middle of its likes, and makes the best hub.
-    weights = durable(members.groupBy(F.col("node").alias("_node")).agg((-F.sum("c")).alias("w")))
-    return durable(members.join(weights, F.col("node") == F.col("_node")).select("key", "node", "n", "w"))
-
-
-def with_hubs(members: DataFrame) -> DataFrame:
-    """key, node, n, hub, hub_n: the hub of a bucket is the member of most weight, the same in most buckets of one group."""
-    best = members.groupBy("key").agg(F.min(F.struct("w", "node", "n")).alias("m"))
-    best = durable(best.select(F.col("key").alias("_key"), F.col("m.node").alias("hub"), F.col("m.n").alias("hub_n")))
-    return durable(members.join(best, F.col("key") == F.col("_key")).select("key", "node", "n", "hub", "hub_n"))
+    common = keyed.groupBy("key").agg(F.count("*").alias("c"), *sums, F.min(F.struct("w", "node", "n")).alias("m")).filter("c > 1")
+    common = common.groupBy("c", "s1", "s2").agg(F.min("key").alias("_key"), F.min("m").alias("m"))
+    common = durable(common.select("_key", F.col("m.node").alias("hub"), F.col("m.n").alias("hub_n")))
+    members = keyed.join(common, F.col("key") == F.col("_key")).select("hub", "hub_n", "node", "n")
+    return durable(members.distinct())
 
 
 def size_fits(a: str, b: str, percent: int) -> Column:
@@ -330,15 +326,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def open_stars(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """hub, node, n, root of the members of all buckets in which components meet that their hub has not joined."""
+def open_stars(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """hub, node, n, root of the stars in which components meet that their hub has not joined."""
     own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    rooted = members.join(own, F.col("node") == F.col("_node"), "left").select("key", "hub", "node", "n", F.coalesce("_root", "node").alias("root"))
+    rooted = stars.join(own, F.col("node") == F.col("_node"), "left").select("hub", "node", "n", F.coalesce("_root", "node").alias("root"))
     rooted = durable(rooted)
-    spread = rooted.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_c"))
-    spread = durable(spread.filter((F.col("_low") != F.col("_high")) & (F.col("_c") > 2)).select("_key"))
-    stars = rooted.join(spread, F.col("key") == F.col("_key")).select("hub", "node", "n", "root")
-    return durable(stars.distinct())
+    spread = rooted.groupBy(F.col("hub").alias("_of")).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_c"))
+    spread = durable(spread.filter((F.col("_low") != F.col("_high")) & (F.col("_c") > 2)).select("_of"))
+    return durable(rooted.join(spread, F.col("hub") == F.col("_of")).drop("_of"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -346,15 +341,14 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> Data
 
     Every pair of a bucket is compared, unless it is in one component by then, or sizes or prefixes rule a link out.
     """
-    members = bucket_members(nodes)
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("_row").alias("_wanted"))
+    stars = stars_of(nodes)
+    wanted = nodes.join(stars.select("node").distinct(), "node", "left_semi").select("node", F.col("_row").alias("_wanted"))
     sets = set_table(docs, durable(wanted), shingle)
-    members = with_hubs(members)
-    pairs = members.filter((F.col("node") != F.col("hub")) & size_fits("n", "hub_n", percent))
+    pairs = stars.filter((F.col("node") != F.col("hub")) & size_fits("n", "hub_n", percent))
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     to_hubs = verified(durable(pairs), sets, percent)
     roots = durable(components(to_hubs))
-    more = star_links(open_stars(members, roots), sets, percent)
+    more = star_links(open_stars(stars, roots), sets, percent)
     discard(sets)
     return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
