@@ -113,6 +113,7 @@ def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
                     ],
                     names=schema.fieldNames(),
                 )
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row"), "text")
     return rows.mapInArrow(run, schema)
@@ -283,6 +284,7 @@ def star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield sent(done)
         if held:
             yield sent(close())
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     task = ["hub", "lo", "hi"]
     rows = blocks_of(stars).join(sets, "node").select(*task, "side", "node", "root", "set")

@@ -22,7 +22,9 @@ from emendata.llm.common import stored
 from emendata.llm.tokens import slices
 
 #: Distinct words remembered by one worker before it starts over; bounds memory, never results.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text whose words are looked up at a time.
+SLICE_BYTES = 4 << 20
 #: Words that are joined for one call of the tokenizer.
 JOINED = 2_000
 
@@ -152,7 +154,7 @@ def tokenized(docs: DataFrame, vocabulary_path: str, end_id: int, doc_id: str, t
         engine, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             row = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE_BYTES):
                 ids, counts = engine.encode(texts)
                 whole = np.empty(len(ids) + len(counts), np.uint16 if len(ids) == 0 or ids.max() < 65536 else np.uint32)
                 ends = np.cumsum(counts + 1)
@@ -177,6 +179,7 @@ def tokenized(docs: DataFrame, vocabulary_path: str, end_id: int, doc_id: str, t
                 )
                 at += int(ends[-1]) if len(ends) else 0
                 row += len(counts)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 

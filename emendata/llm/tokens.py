@@ -153,12 +153,12 @@ def counter(vocabulary: str) -> MergeCounter:
     return MergeCounter(vocabulary)
 
 
-def slices(texts: pa.Array):
-    """Parts of a batch of about SLICE_BYTES each, at least one row."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """Parts of a batch of about ``most`` bytes each, at least one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at, total = 0, 0
     for i, size in enumerate(sizes):
-        if total and total + size > SLICE_BYTES:
+        if total and total + size > most:
             yield texts.slice(at, i - at)
             at, total = i, 0
         total += size
