@@ -22,7 +22,7 @@ from emendata.llm.common import stored
 from emendata.llm.tokens import slices
 
 #: Distinct words remembered by one worker before it starts over; bounds memory, never results.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Words that are joined for one call of the tokenizer.
 JOINED = 2_000
 
