@@ -183,18 +183,22 @@ def joining_links(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, p
     k = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, k)
     order = np.argsort(sizes, kind="stable")
-    owners = np.repeat(np.arange(k), sizes[order])
+    # Two blocks and their elements are counted in 32 bits; this is where a task needs most memory.
+    owners = np.repeat(np.arange(k, dtype=np.int32), sizes[order])
     _, codes, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    rank = np.empty(len(counts), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
     tokens = rank[codes]
     alone = int((counts == 1).sum())  # the first so many elements belong to one set only
-    by_set = np.lexsort((tokens, owners))
-    tokens = tokens[by_set]
+    del codes, rank
     n = sizes[order]
     begin = np.cumsum(n) - n
+    for x, y in zip(begin.tolist(), (begin + n).tolist(), strict=True):
+        tokens[x:y].sort()
     prefix = n - (n * percent + 99) // 100 + 1
-    heads = (np.arange(len(tokens)) - begin[owners] < prefix[owners]) & (tokens >= alone)
+    heads = np.zeros(len(tokens), bool)
+    for x, y in zip(begin.tolist(), (begin + prefix).tolist(), strict=True):
+        heads[x:y] = tokens[x:y] >= alone
     # Lists of the sets that have an element in their prefix, from small sets to large.
     listed, list_of = owners[heads], tokens[heads]
     by_token = np.argsort(list_of, kind="stable")
