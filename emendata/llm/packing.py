@@ -23,6 +23,8 @@ from emendata.llm.tokens import slices
 
 #: Distinct words remembered by one worker before it starts over; bounds memory, never results.
 REMEMBERED = 1_000_000
+#: Bytes of text that are looked up at a time.
+LOOKED_UP = 4 << 20
 #: Words that are joined for one call of the tokenizer.
 JOINED = 2_000
 
@@ -169,7 +171,7 @@ def tokenized(docs: DataFrame, vocabulary_path: str, end_id: int, doc_id: str, t
         engine, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             row = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), LOOKED_UP):
                 ids, counts = engine.encode(texts)
                 whole = np.empty(len(ids) + len(counts), np.uint16 if len(ids) == 0 or ids.max() < 65536 else np.uint32)
                 ends = np.cumsum(counts + 1)
