@@ -133,10 +133,14 @@ def stars_of(nodes: DataFrame) -> DataFrame:
     keyed = durable(wide.select(F.xxhash64("g", "j", "h").alias("key"), "node", "n", "w"))
     # Buckets of the same members say the same: one of them stays.
     sums = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
-    common = keyed.groupBy("key").agg(F.count("*").alias("c"), *sums, F.min(F.struct("w", "node", "n")).alias("m")).filter("c > 1")
-    common = common.groupBy("c", "s1", "s2").agg(F.min("key").alias("_key"), F.min("m").alias("m"))
-    common = durable(common.select("_key", F.col("m.node").alias("hub"), F.col("m.n").alias("hub_n")))
-    members = keyed.join(common, F.col("key") == F.col("_key")).select("hub", "hub_n", "node", "n")
+    # The two ends of a bucket come with it; only the members between them have to be looked up.
+    each = F.struct("w", "node", "n")
+    common = keyed.groupBy("key").agg(F.count("*").alias("c"), *sums, F.min(each).alias("m"), F.max(each).alias("x")).filter("c > 1")
+    common = common.groupBy("c", "s1", "s2").agg(F.min("key").alias("_key"), F.min("m").alias("m"), F.min("x").alias("x"))
+    common = durable(common.select("_key", "c", F.col("m.node").alias("hub"), F.col("m.n").alias("hub_n"), F.col("x.node").alias("last"), F.col("x.n").alias("last_n")))
+    ends = [common.select("hub", "hub_n", F.col(k).alias("node"), F.col(f"{k}_n").alias("n")) for k in ("hub", "last")]
+    between = (F.col("key") == F.col("_key")) & (F.col("node") != F.col("hub")) & (F.col("node") != F.col("last"))
+    members = keyed.join(common.filter("c > 2"), between).select("hub", "hub_n", "node", "n").unionAll(ends[0]).unionAll(ends[1])
     return durable(members.distinct())
 
 
