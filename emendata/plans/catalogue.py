@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emendata.functions import dates, http, text, urls
-from emendata.operators import diff, planning, versioning
+from emendata.operators import diff, planning, reports, versioning
 from emendata.sources import articles, captures, encoding, feeds, robots
 
 QUERIES: dict = {}
@@ -419,7 +419,7 @@ def encoding_repairs(spark, sf_dir):
     return rows.withColumn("b", before).select("event_id", http.encoding_repair(F.col("b"), F.col("v")).alias("repair"))
 
 
-@query("SELECT page_id, replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+@query("SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS title FROM pages")
 def article_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", articles.article(F.col("html"), F.col("url")).getField("title").alias("title"))
 
@@ -551,3 +551,151 @@ def robots_cache(spark, sf_dir):
 def title_history(spark, sf_dir):
     log = versioning.renumbered(table(spark, sf_dir, "conversations"), "conv_id", "turn", "turn").select("conv_id", "version_number", "role")
     return versioning.title_history(log, "conv_id", "role")
+
+
+def one_of(values, key):
+    """The value at the place that ``key`` (a column from 0) names."""
+    return F.get(F.array(*map(F.lit, values)), key.cast("int"))
+
+
+@query(
+    """SELECT o_orderkey, ['Updated <time> by ', 'id <id> of ', 'see <id> now ', 'ref <id> in ', 'written 3 weeks ago by ', 'seen <time> <id> ', ''][o_orderkey % 7 + 1] || o_orderpriority AS folded FROM orders"""
+)
+def masked_texts(spark, sf_dir):
+    """Relative times up to days, UUIDs, assigned identifiers and opaque tokens are masked, at the edges to nothing; weeks are text."""
+    said = ("Updated vor 3 Stunden by ", "id 123e4567-E89B-12d3-a456-426614174000 of ", "see ad-session = ab12cd34 now ", "ref abcdef_ghijkl123456 in ")
+    made = one_of((*said, "written 3 weeks  ago by ", "seen About 5 minutes ago utm_source=mail ", "token: abc "), F.col("o_orderkey") % 7)
+    folded = text.fold(F.concat(made, F.col("o_orderpriority")))
+    shown = F.replace(F.replace(folded, F.lit(text.RELATIVE_TIME), F.lit("<time>")), F.lit(text.IDENTIFIER), F.lit("<id>"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("folded"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://my_host.example.com/a' || page_id WHEN 1 THEN 'https://example.com/a' || page_id || '?page=2'
+       WHEN 2 THEN 'https://example.com/a' || page_id || '.html' WHEN 3 THEN 'https://example.com/a' || page_id || '?m=2' WHEN 4 THEN 'mailto:desk' || page_id || '@example.com'
+       ELSE 'https://example.com/b' || page_id || '?q=%C3%A9' END AS identity FROM pages"""
+)
+def url_variants(spark, sf_dir):
+    """Hosts with an underscore, cached, mobile and other renditions, credentials and dot segments; what is no URL stays."""
+    heads = ("http://my_host.example.com:8080/a", "https://x-example-com.cdn.ampproject.org/c/s/www.example.com/a", "https://example.com/m/amp/a", "https://example.com/a")
+    tails = ("", "?page=2", ".amp.html", "?outputType=AMP&mobile=true&m=2&amp", "@example.com", "?q=%c3%a9#x")
+    kind = F.col("page_id") % 6
+    url = F.concat(one_of((*heads, "mailto:desk", "HTTPS://user:pw@EXAMPLE.com:443/a/../b"), kind), F.col("page_id"), one_of(tails, kind))
+    return table(spark, sf_dir, "pages").withColumn("url", url).select("page_id", urls.provisional_identity(F.col("url")).alias("identity"))
+
+
+@query(
+    f"""WITH {_CANONICAL} SELECT page_id, CASE WHEN page_id % 3 = 1 THEN regexp_extract(canonical_url, '^https://[^/]*') || '/story/' || page_id ELSE canonical_url END AS identity FROM c"""
+)
+def declared_identities(spark, sf_dir):
+    """Pages that declare nothing, a relative address, or the root of their site, which is not believed."""
+    kind = F.col("page_id") % 3
+    link = F.concat(F.lit('<head><link rel="alternate Canonical" href="'), F.when(kind == 1, F.concat(F.lit("/story/"), "page_id", F.lit("?utm_source=x"))).otherwise("/"), F.lit('">'))
+    html = F.when(kind == 0, F.col("html")).otherwise(F.replace(F.col("html"), F.lit("<head>"), link))
+    found = table(spark, sf_dir, "pages").select("page_id", "url", articles.article(html, F.col("url")).getField("canonical").alias("declared"))
+    return found.select("page_id", urls.document_identity(F.col("url"), F.col("declared")).alias("identity"))
+
+
+_LABELS = ", ".join(f"'{x}'" for x in sorted(articles.LABELS))
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, unnest(string_split(regexp_extract(html, '<h1>(.*)</article>', 1, 's'), '<p>')) AS x, generate_subscripts(string_split(regexp_extract(html, '<h1>(.*)</article>', 1, 's'), '<p>'), 1) AS i FROM pages),
+    t AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS x FROM p),
+    k AS (SELECT t.page_id, t.i, t.x FROM t JOIN t h ON h.page_id = t.page_id AND h.i = 1 WHERE t.i > 1 AND t.x <> h.x AND lower(trim(t.x, '.,:;!?-*# ')) NOT IN ({_LABELS}) AND (length(t.x) >= 30 OR (length(t.x) >= 8 AND strpos(t.x, ' ') > 0 AND regexp_matches(t.x, '[.!?…]$'))))
+    SELECT page_id, count(x)::INT AS n_paragraphs, coalesce(string_agg(x, chr(10) ORDER BY i), '') AS body FROM pages LEFT JOIN k USING (page_id) GROUP BY 1"""
+)
+def article_bodies(spark, sf_dir):
+    """The prose of each page: not its navigation, advertisement, scripts or footer, nor its headline again or scraps."""
+    found = table(spark, sf_dir, "pages").select("page_id", articles.article(F.col("html"), F.col("url")).getField("paragraphs").alias("p"))
+    return found.select("page_id", F.size("p").alias("n_paragraphs"), F.array_join("p", "\n").alias("body"))
+
+
+@query(
+    """WITH s AS (SELECT n_nationkey, [200, 204, 301, 404, 429, 503, NULL][n_nationkey % 7 + 1] AS status, CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey * 5.0::DOUBLE END AS asked FROM nation)
+    SELECT n_nationkey, CASE WHEN status IN (200, 204) THEN 'PARSE' WHEN status IN (404, 429) THEN 'ALLOW' ELSE 'DENY' END AS access, status IS NULL OR status = 503 AS again,
+    greatest(10, least(coalesce(asked, 10), 60))::DOUBLE AS gap FROM s"""
+)
+def robots_policies(spark, sf_dir):
+    status, key = one_of((200, 204, 301, 404, 429, 503, None), F.col("n_nationkey") % 7), F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", status.alias("status"), F.when(key % 4 > 0, key * 5.0).alias("asked"))
+    gap = http.crawl_gap(F.col("asked"), 10.0, 60.0)
+    return rows.select("n_nationkey", http.robots_access(F.col("status")).alias("access"), http.retried(F.col("status"), F.lit(None)).alias("again"), gap.alias("gap"))
+
+
+@query(
+    """SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) || CASE WHEN page_id % 2 = 0 THEN ':8080' ELSE '' END AS origin, 'bot' || page_id AS token FROM pages"""
+)
+def request_origins(spark, sf_dir):
+    """Origins of addresses with ports and credentials, and the name an agent goes by in robots files."""
+    port = F.when(F.col("page_id") % 2 == 0, ":8080/").otherwise("/")
+    url = F.concat(F.regexp_extract("url", "^([a-z]+://)", 1), F.lit("me:pw@"), F.upper(F.regexp_extract("url", "://([^/?#]*)", 1)), port)
+    agent = F.concat(F.lit("bot"), "page_id", F.lit("/1.0 (+https://example.org)"))
+    return table(spark, sf_dir, "pages").select("page_id", http.origin(url).alias("origin"), http.product_token(agent).alias("token"))
+
+
+@query(
+    f"""WITH {REVISIONS} SELECT event_id, CASE WHEN is_new AND version_number = 1 THEN 'NEW' WHEN is_new THEN 'CHANGED' ELSE 'UNCHANGED' END AS outcome FROM v"""
+)
+def ingest_outcomes(spark, sf_dir):
+    found = versioning.store_verdicts(observations(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
+    return found.select("event_id", versioning.ingest_outcome(F.col("previous_version").isNull(), F.col("outcome")).alias("outcome"))
+
+
+@query(f"WITH {REVISIONS} SELECT user_id, version_number FROM r WHERE event_type = 'error'")
+def lossy_revisions(spark, sf_dir):
+    """Revisions decoded with loss."""
+    rows = event_revisions(spark, sf_dir).withColumn("encoding", F.struct((F.col("event_type") == "error").alias("replaced")))
+    return versioning.replaced_versions(rows).select("user_id", "version_number")
+
+
+@query(
+    """WITH c AS (SELECT list(n ORDER BY i) AS f FROM (SELECT i, count(event_id) AS n FROM range(3) t(i) LEFT JOIN events ON user_id % 3 = i GROUP BY 1)),
+    d AS (SELECT list(n ORDER BY i) AS a FROM (SELECT i, count(event_id) AS n FROM range(8) t(i) LEFT JOIN events ON event_id % 8 = i GROUP BY 1))
+    SELECT format('{{"feeds":{{"fetched":{},"not_modified":{},"failed":{}}},"articles":{{"new":{},"changed":{},"unchanged":{},"skipped":{},"failed":{},"deferred":{},"abandoned":{},"not_due":{},"checked":{},"replaced":{}}}}}',
+      f[1], f[2], f[3], a[1], a[2], a[3], a[4], a[5], a[6], a[7], a[8], (SELECT count(*) FROM events), (SELECT count(*) FROM events WHERE value > 50)) AS response FROM c, d"""
+)
+def run_responses(spark, sf_dir):
+    """What a run answers: feeds and articles by outcome, and the texts decoded with loss."""
+    log = table(spark, sf_dir, "events")
+    polled = log.select(one_of(reports.FEED_OUTCOMES, F.col("user_id") % 3).alias("outcome"))
+    checked = log.select(one_of(reports.ARTICLE_OUTCOMES, F.col("event_id") % 8).alias("outcome"), "value")
+    return reports.run_response(polled, checked, F.col("value") > 50)
+
+
+@query(
+    """SELECT conv_id, format('{{"conv_id":{},"turn":{},"paragraph_count":{}}}', conv_id, turn, len(string_split(text, chr(10)))) AS response FROM conversations"""
+)
+def listing_responses(spark, sf_dir):
+    """Rows of a listing with the number of paragraphs in place of the paragraphs."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n").alias("paragraphs"))
+    return reports.changed_response(rows, "conv_id", "paragraphs")
+
+
+@query(
+    """WITH v AS (SELECT user_id, event_id, event_type = 'error' AS lossy, CASE WHEN value > 50 THEN 'UTF-8' ELSE 'windows-1252' END AS charset FROM events),
+    s AS (SELECT *, charset || ' (document declaration)' || CASE WHEN lossy THEN ', with replacement characters' ELSE '' END AS said FROM v),
+    l AS (SELECT *, lag(lossy) OVER w AS old, lag(charset) OVER w AS was, lag(said) OVER w AS told FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, 'Decoding changed: ' || CASE WHEN old AND NOT lossy THEN 'the earlier text was decoded with replacement characters, the later was not'
+      WHEN NOT old AND lossy THEN 'the earlier text was decoded cleanly, the later needed replacement characters'
+      WHEN old AND was <> charset THEN 'both texts needed replacement characters, under different charsets' END || '. Now ' || said || ', before ' || told || '.' AS rationale FROM l"""
+)
+def repair_rationales(spark, sf_dir):
+    """The sentence that explains a difference by its decoding."""
+    verdict = F.struct(F.when(F.col("value") > 50, "UTF-8").otherwise("windows-1252").alias("charset"), F.lit("DOCUMENT").alias("source"), (F.col("event_type") == "error").alias("replaced"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", verdict.alias("v"))
+    before = F.lag("v").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return rows.withColumn("b", before).select("event_id", http.encoding_rationale(F.col("b"), F.col("v")).alias("rationale"))
+
+
+@query("SELECT event_id, 0 AS part, event_type FROM events UNION ALL SELECT o_orderkey, 1, NULL FROM orders")
+def run_results(spark, sf_dir):
+    """Results of feeds, then of documents looked at again, which lack the feeds' columns."""
+    again = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"))
+    return reports.all_results(table(spark, sf_dir, "events").select("event_id", "event_type"), again)
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 2")
+def active_feeds(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("https://"), F.lower("n_name")).alias("url"), (F.col("n_regionkey") != 2).alias("active"))
+    return feeds.feed_options(feeds.active_feeds(rows))
