@@ -97,8 +97,8 @@ def mix(
     as the column _rest.
 
     Null texts have size 0 and nothing is taken from them; rows that repeat are documents of their own; columns
-    other than the three named are not read. Order within a shard follows a seeded hash of id and text, then both
-    of them, so reruns agree. The driver holds one number per source (MOST_SOURCES at most, else an error) and per shard.
+    other than the three named are not read. Order within a shard follows a seeded hash of id and text, then the
+    id and a hash of the text, so reruns agree. The driver holds one number per source (MOST_SOURCES at most, else an error) and per shard.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -107,7 +107,7 @@ def mix(
         F.col(f"`{text}`").alias("text"),
         *([] if rest is None else [rest.alias("_rest")]),
     )
-    rows = rows.select("*", size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("_draw"))
+    rows = rows.select("*", size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("_draw"), F.xxhash64(F.lit(seed + 1), "text").alias("_tie"))
     narrow = durable(rows.select("source", "size", "_draw"))
     found = narrow.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -143,7 +143,7 @@ def mix(
             n = blocks[i, r._shard]
             quotas.append((i, r._shard, q // n, (q % n) * r.n // n))
     plan = spark.createDataFrame(quotas, "_s int, _shard int, full long, _edge long")
-    line = Window.partitionBy("_s", "_shard").orderBy("_draw", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("_s", "_shard").orderBy("_draw", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sharded(rows).withColumn("_end", F.sum("size").over(line))
     placed = placed.join(F.broadcast(plan), ["_s", "_shard"], "left").fillna(0, ["full", "_edge"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_edge") - F.col("_end") + F.col("size")))
