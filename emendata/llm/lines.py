@@ -17,6 +17,8 @@ Every step is a join or a sum over rows (position, rank); no array holds more th
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,15 +37,15 @@ def prefix_sums(rows: DataFrame, order: list[Column], value: Column) -> DataFram
     """``rows``, which are read twice, with _before, the sum of ``value`` over all rows that stand before in ``order``.
 
     Rows are dealt by range, so that no key and no prefix of the order has to fit one task; the sums of the ranges, one
-    number per partition, are summed up by themselves.
+    number per partition, are summed up by the driver and stand in the plan, which so needs no join for them.
     """
     dealt = rows.withColumn("_v", value.cast("long")).repartitionByRange(*order)
     dealt = stored(dealt.withColumn("_p", F.spark_partition_id()))
-    totals = dealt.groupBy("_p").agg(F.sum("_v").alias("_t"))
-    bases = totals.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(*BEFORE)), F.lit(0)).alias("_base"))
+    totals = {r["_p"]: r["_t"] for r in dealt.groupBy("_p").agg(F.sum("_v").alias("_t")).collect()}
+    sums = accumulate((totals.get(p) or 0 for p in range(max(totals, default=0))), initial=0)
+    bases = F.split(F.lit(",".join(map(str, sums))), ",").cast("array<bigint>")  # a constant to the optimizer
     within = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(*BEFORE))
-    out = dealt.join(F.broadcast(bases), "_p").withColumn("_before", F.col("_base") + F.coalesce(within, F.lit(0)))
-    out = out.drop("_p", "_v", "_base")
+    out = dealt.withColumn("_before", F.get(bases, F.col("_p")) + F.coalesce(within, F.lit(0))).drop("_p", "_v")
     out.stored_at = dealt.stored_at  # until discarded
     return out
 

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from emendata.llm.lines import dedup_lines, deduped_documents
+from emendata.llm.common import discard
+from emendata.llm.lines import dedup_lines, deduped_documents, prefix_sums
 from helpers import AWKWARD, corpus, frame
 
 
@@ -70,3 +71,15 @@ def test_one_long_document_of_equal_lines(spark):
     out = {x.doc_id: x for x in dedup_lines(docs, 50).collect()}
     assert (out[0].n_lines, out[0].n_removed, out[0].text) == (n, n - 1, "x y")
     assert (out[1].n_removed, out[1].text) == (30, "p q\nr")
+
+
+def test_prefix_sums_need_no_join(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), (F.col("id") % 3).alias("n"))
+    out = prefix_sums(rows, [F.col("x")], F.col("n"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    total = 0
+    for r in sorted(out.collect(), key=lambda r: r.x):
+        assert r._before == total
+        total += r.n
+    discard(out)
+    assert prefix_sums(rows.limit(0), [F.col("x")], F.col("n")).count() == 0
