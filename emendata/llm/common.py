@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint; survives the loss of any executor."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    trim(df.sparkSession)
+    return out
 
 
 #: Folders of this process that are still there: path to its session.
@@ -70,6 +74,7 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/emendata-{uuid.uuid4().hex}"
     _folders[path] = spark
     df.write.option("compression", "zstd").parquet(path)
+    trim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -92,6 +97,23 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffle files and checkpoints of finished steps: it waits for the driver's garbage."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Have the driver's JVM give back what its threads have freed, where it can do that (JDK 17.0.9 on).
+
+    Each join and exchange is planned in threads of its own, with heaps of their own outside of Java's; what these have
+    freed stays with the process otherwise, and grows with the number of steps.
+    """
+    jvm = spark._jvm
+    with contextlib.suppress(Py4JError):
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        given[0], given[1] = name, "systemTrimNativeHeap"
+        call.invoke(server, given)
 
 
 @atexit.register

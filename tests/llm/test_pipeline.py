@@ -1,8 +1,11 @@
+import contextlib
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from emendata.llm import common
 from emendata.llm.neardup import near_duplicates
 from emendata.llm.quality import scored
 
@@ -34,3 +37,14 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_steps_give_memory_back(spark, monkeypatch):
+    """Each stored step has the driver's JVM return freed memory, and the call is one that this JVM knows."""
+    seen, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda session: seen.append(trim(session)))
+    monkeypatch.setattr(common.contextlib, "suppress", lambda *_: contextlib.nullcontext())
+    common.discard(common.stored(spark.range(3)))
+    assert common.durable(spark.range(3)).count() == 3
+    common.release(spark)
+    assert len(seen) == 3
