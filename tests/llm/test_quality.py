@@ -95,3 +95,24 @@ def test_repeated_rows_are_scored_alike(spark):
     labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
     out = scored(docs.unionAll(docs), labels).collect()
     assert len(out) == 6 and len({r.score for r in out if r.doc_id < 2}) == 1
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """With few rows and pairs to start from, weights and threshold are those of all pairs and all rows."""
+    monkeypatch.setattr(quality, "MOST_LABELLED", 40)
+    monkeypatch.setattr(quality, "PAIRS", 400)
+    monkeypatch.setattr(quality, "SORTED", 20)
+    docs, labels = tables(spark, "/root/testdata/sf0.01")
+    rows = docs.select("doc_id", "text").join(labels.filter(~held_out(F.col("doc_id"))), "doc_id")
+    got = rows.select("quality", *[v.alias(f"f_{k}") for k, v in quality.features(F.col("text")).items()]).toPandas()
+    x, y = got.iloc[:, 1:].to_numpy(float), got["quality"].to_numpy()
+    seen, real = [], quality.Ranking.score
+    monkeypatch.setattr(quality.Ranking, "score", lambda self: seen.append(self) or real(self))
+    assert scored(docs, labels).count() == docs.count()
+    z = (x - x.mean(0)) / np.where(x.std(0) < 1e-9, 1, x.std(0))
+    w = np.array(seen[0].weights) * np.where(x.std(0) < 1e-9, 1, x.std(0))
+    gap = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    down = -gap.T @ (1 / (1 + np.exp(gap @ w))) / len(gap) + 1e-3 * w
+    assert len(y) > 100 and np.abs(down).max() < 1e-8
+    raw = x @ np.array(seen[0].weights)
+    assert math.isclose(seen[0].threshold, np.quantile(raw, (y == 0).mean()), abs_tol=1e-9)
