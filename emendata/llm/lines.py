@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emendata.llm.common import discard, joined_by_shuffle, let, release, row_key, stored, word_count
+from emendata.llm.common import discard, joined_by_shuffle, joined_by_sort, let, release, row_key, stored, word_count
 
 MIN_WORDS = 50
 BEFORE = (Window.unboundedPreceding, -1)
@@ -68,7 +68,7 @@ def repeated_lines(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
     counts = stored(lines.groupBy("a", "b").agg(F.count("*").alias("_c")).filter("_c > 1"))
     ranks = prefix_sums(counts, [F.col("a"), F.col("b")], F.col("_c"))
     own = ranks.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_before").alias("rank"))
-    found = lines.join(own, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    found = lines.join(joined_by_sort(own), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     found = found.select("doc_id", "k1", "k2", "pos", "w", "rank").dropDuplicates(["k1", "k2", "pos"])
     # Stretches are the islands of positions without a gap.
     order = Window.partitionBy("k1", "k2").orderBy("pos")
@@ -86,7 +86,7 @@ def repeated_lines(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
     docs = stored(found.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), (F.max("pos") + 1).alias("_n")))
     bases = prefix_sums(docs, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2")], F.col("_n"))
     own = bases.select(F.col("_before").alias("base"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    placed = found.join(own, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    placed = found.join(joined_by_sort(own), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     at = lambda c: (F.col("base") + F.col(c)).alias
     placed = stored(placed.select(at("pos")("g"), "base", "rank", "w", at("low")("low"), at("high")("high"), "v", "total"))
     discard(found, docs)
@@ -115,13 +115,13 @@ def doubled(state: DataFrame, step: int) -> DataFrame:
     """The state after ordering by twice ``step`` lines."""
     second = state.select(F.col("s").alias("_s"), F.col("rank").alias("_r"), F.col("done").alias("_d"))
     ahead = (F.col("s") + step == F.col("_s")) & (F.col("s") + step <= F.col("end"))
-    both = state.filter("open").join(second, ahead, "left").withColumn("_r", F.coalesce("_r", F.lit(-1))).drop("_s")
+    both = state.filter("open").join(joined_by_sort(second), ahead, "left").withColumn("_r", F.coalesce("_r", F.lit(-1))).drop("_s")
     both = stored(both)
     pairs = prefix_sums(both.groupBy("rank", "_r").agg(F.count("*").alias("_c")), [F.col("rank"), F.col("_r")], F.col("_c"))
     first = pairs.groupBy(F.col("rank").alias("_of")).agg(F.min("_before").alias("_first"))
-    new = pairs.join(first, F.col("rank") == F.col("_of"))
+    new = pairs.join(joined_by_sort(first), F.col("rank") == F.col("_of"))
     new = new.select(F.col("rank").alias("_rank"), F.col("_r").alias("_second"), (F.col("rank") + F.col("_before") - F.col("_first")).alias("_new"), "_c")
-    moved = both.join(new, (F.col("rank") == F.col("_rank")) & (F.col("_r") == F.col("_second")))
+    moved = both.join(joined_by_sort(new), (F.col("rank") == F.col("_rank")) & (F.col("_r") == F.col("_second")))
     done = F.coalesce(F.col("_d"), F.lit(False)) | F.coalesce(F.col("m") <= 2 * step, F.lit(False))
     moved = moved.select("s", "g", "base", "end", "m", F.col("_new").alias("rank"), done.alias("done"), (~done & (F.col("_c") > 1) & (F.col("_r") >= 0)).alias("open"))
     out = stored(state.filter("NOT open").unionByName(moved))
@@ -143,14 +143,14 @@ def intervals(states: list[DataFrame]) -> DataFrame:
     numbered = prefix_sums(buckets, [F.col("rank")], F.lit(1))
     placed = numbered.withColumnRenamed("_before", "i")
     left = placed.select(F.col("s").alias("p"), (F.col("i") + 1).alias("_i"))
-    pairs = placed.join(left, F.col("i") == F.col("_i")).select("i", "p", F.col("s").alias("q"), "m", F.lit(0).alias("lcp"), F.lit(False).alias("same"))
+    pairs = placed.join(joined_by_sort(left), F.col("i") == F.col("_i")).select("i", "p", F.col("s").alias("q"), "m", F.lit(0).alias("lcp"), F.lit(False).alias("same"))
     held = None
     for k in reversed(range(len(states))):
         one = states[k].select(F.col("s").alias("_s1"), F.col("rank").alias("_r1"), "done")
         two = states[k].select(F.col("s").alias("_s2"), F.col("rank").alias("_r2"))
         short = ~F.col("same") & (F.col("lcp") < F.col("m"))
-        met = pairs.join(one, F.when(short, F.col("p") + F.col("lcp")) == F.col("_s1"), "left")
-        met = met.join(two, F.when(short, F.col("q") + F.col("lcp")) == F.col("_s2"), "left")
+        met = pairs.join(joined_by_sort(one), F.when(short, F.col("p") + F.col("lcp")) == F.col("_s1"), "left")
+        met = met.join(joined_by_sort(two), F.when(short, F.col("q") + F.col("lcp")) == F.col("_s2"), "left")
         equal = F.coalesce(F.col("_r1") == F.col("_r2"), F.lit(False))
         pairs = met.select("i", "p", "q", "m", (F.col("lcp") + F.when(equal, 1 << k).otherwise(0)).alias("lcp"), (F.col("same") | (equal & F.col("done"))).alias("same"))
         if k % LEVELS == 0:
@@ -159,7 +159,7 @@ def intervals(states: list[DataFrame]) -> DataFrame:
             if before is not None:
                 discard(before)
     joined = pairs.filter("same OR lcp >= m").select(F.col("i").alias("_j"), F.lit(0).alias("_cut"))
-    cut = placed.join(joined, F.col("i") == F.col("_j"), "left").select("i", "rank", F.coalesce("_cut", F.lit(1)).alias("_cut"))
+    cut = placed.join(joined_by_sort(joined), F.col("i") == F.col("_j"), "left").select("i", "rank", F.coalesce("_cut", F.lit(1)).alias("_cut"))
     found = prefix_sums(cut, [F.col("i")], F.col("_cut"))
     discard(numbered, pairs)
     return found
@@ -171,9 +171,9 @@ def copies(lines: DataFrame, min_words: int) -> DataFrame:
     found = intervals(states)
     own = found.select(F.col("rank").alias("_rank"), (F.col("_before") + F.col("_cut")).alias("interval"))
     heads = states[-1].filter("m IS NOT NULL").select("s", "g", "base", "m", "rank")
-    heads = stored(heads.join(own, F.col("rank") == F.col("_rank")).select("s", "g", "base", "m", "interval"))
+    heads = stored(heads.join(joined_by_sort(own), F.col("rank") == F.col("_rank")).select("s", "g", "base", "m", "interval"))
     first = heads.groupBy(F.col("interval").alias("_of")).agg(F.min("g").alias("_first"), F.max("g").alias("_last")).filter("_first < _last")
-    later = heads.join(first, F.col("interval") == F.col("_of")).filter(F.col("g") > F.col("_first"))
+    later = heads.join(joined_by_sort(first), F.col("interval") == F.col("_of")).filter(F.col("g") > F.col("_first"))
     begin = F.when(F.col("s") < 0, F.col("g") - F.col("m") + 1).otherwise(F.col("g"))
     out = stored(later.select("base", begin.alias("from"), (begin + F.col("m")).alias("to")))
     discard(heads, found, *states)
@@ -194,7 +194,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = spans.groupBy("base", "_span").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     span = F.struct((F.col("from") - F.col("base")).cast("int").alias("from"), (F.col("to") - F.col("base")).cast("int").alias("to"))
     spans = spans.groupBy("base").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    out = bases.join(spans, F.col("_before") == F.col("base")).select(F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")).alias("_key"), "spans")
+    out = bases.join(joined_by_sort(spans), F.col("_before") == F.col("base")).select(F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")).alias("_key"), "spans")
     out = stored(out)
     discard(lines, bases, runs)
     release(docs.sparkSession)

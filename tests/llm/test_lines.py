@@ -83,3 +83,14 @@ def test_prefix_sums_need_no_join(spark):
         total += r.n
     discard(out)
     assert prefix_sums(rows.limit(0), [F.col("x")], F.col("n")).count() == 0
+
+
+def test_no_join_is_broadcast(spark, monkeypatch):
+    from emendata.llm import lines
+
+    plans, write = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    found = lines.later_copies(frame(spark, ["a b c\nd e f\ng", "x\na b c\nd e f", "d e f\ng"]), 3)
+    assert found.count() > 0
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not any("BroadcastHashJoin" in p for p in plans)
