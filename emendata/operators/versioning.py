@@ -197,11 +197,12 @@ def feed_coverage(feeds: DataFrame, documents: DataFrame, feed: str, name: str,
 def either_key_lookup(wanted: DataFrame, documents: DataFrame, url: str, identity: str, origin: str, take: Sequence[str]) -> DataFrame:
     """Wanted urls that are a document's identity or the origin it was seen at; identity beats origin.
 
+    Of several documents the one with the smallest identity is taken, then the one with the smallest values of ``take``.
     Two equi-joins and a pick instead of one join on either column.
     """
     by_identity = wanted.join(documents.select(F.col(identity).alias(url), *take, F.lit(1).alias("_by"), F.col(identity).alias("_i")), url)
     by_origin = wanted.join(documents.select(F.col(origin).alias(url), *take, F.lit(2).alias("_by"), F.col(identity).alias("_i")), url)
-    rank = F.row_number().over(Window.partitionBy(url).orderBy("_by", "_i"))
+    rank = F.row_number().over(Window.partitionBy(url).orderBy("_by", "_i", *take))
     return by_identity.unionByName(by_origin).withColumn("_n", rank).filter("_n = 1").drop("_n", "_by", "_i")
 
 

@@ -190,3 +190,12 @@ def test_schedule(spark):
         start = max(at, free.get(host, 0.0))
         assert got[host, at] == pytest.approx(start)
         free[host] = start + took + 1.0
+
+
+def test_either_key_lookup_settles_ties(spark):
+    wanted = spark.createDataFrame([("u",), ("o",)], "url string")
+    known = [(9, "u", None), (2, "u", "x"), (5, "u", "o"), (4, "v", "o"), (3, "v", "o")]
+    for order in (known, known[::-1], known[2:] + known[:2]):
+        documents = spark.createDataFrame(order, "page_id long, identity string, origin string").coalesce(1)
+        found = V.either_key_lookup(wanted, documents, "url", "identity", "origin", ["page_id"]).collect()
+        assert sorted(map(tuple, found)) == [("o", 5), ("u", 2)]
