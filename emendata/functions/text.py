@@ -38,6 +38,11 @@ IDENTIFIER_NAMES = (
 #: Shortest alphanumeric run that is opaque if it holds a digit, and if it is all hexadecimal.
 OPAQUE_RUN, HEX_RUN = 12, 16
 
+#: What any of the foldings needs to change a text without digits, and the run of characters that they need besides with
+#: digits: most words and paragraphs have neither, and one look at them serves for all the patterns.
+SUSPECT = r"[^ !-9;<>-_a-~\u00c0-\u024f]|^ | $|  |(?i:vor|eben|ago|now|[a-f]{8})"
+SUSPECT_RUN = rf"[\p{{Alnum}}_-]{{{OPAQUE_RUN}}}"
+
 
 def _any(words) -> str:
     return "(?:" + "|".join(words) + ")"
@@ -59,11 +64,24 @@ OPAQUE = (
 )
 
 
-def _composed(texts) -> list:
-    """NFC of each text; what is composed already, as nearly all text is, is only looked at."""
+#: Texts that are Python objects at a time.
+COMPOSED_AT_ONCE = 256
+
+
+def _composed(texts):
+    """NFC of each text of an Arrow array; what is composed already, as nearly all text is, is only looked at."""
     from unicodedata import is_normalized, normalize
 
-    return [x if x is None or x.isascii() or is_normalized("NFC", x) else normalize("NFC", x) for x in texts.to_pylist()]
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    out = []
+    for at in range(0, len(texts), COMPOSED_AT_ONCE):
+        part = texts.slice(at, COMPOSED_AT_ONCE)
+        if pc.all(pc.string_is_ascii(part)).as_py() is False:
+            part = pa.array([x if x is None or is_normalized("NFC", x) else normalize("NFC", x) for x in part.to_pylist()], pa.string())
+        out.append(part)
+    return pa.concat_arrays([x.cast(pa.string()) for x in out]) if out else pa.array([], pa.string())
 
 
 def nfc(text: Column) -> Column:
@@ -72,7 +90,7 @@ def nfc(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(texts):
-        return pa.array(_composed(texts), pa.string())
+        return _composed(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
 
     return run(text)
 
@@ -86,7 +104,7 @@ def nfc_all(paragraphs: Column) -> Column:
     def run(lists):
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
-        flat = pa.array(_composed(pc.list_flatten(lists)), pa.string())
+        flat = _composed(pc.list_flatten(lists))
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
         return pa.ListArray.from_arrays(offsets, flat, mask=pc.is_null(lists))
@@ -102,6 +120,16 @@ def fold(text: Column, compose: bool = True) -> Column:
     x = F.coalesce(text, F.lit(""))
     if compose:
         x = nfc(x)
+    return F.when(suspect(x), _folded(x)).otherwise(x)
+
+
+def suspect(x: Column) -> Column:
+    """Whether folding may change a composed text that is not null. No word of a text that is not suspect is."""
+    return F.rlike(x, F.lit(SUSPECT)) | (F.rlike(x, F.lit("[0-9]")) & F.rlike(x, F.lit(SUSPECT_RUN)))
+
+
+def _folded(x: Column) -> Column:
+    """``fold`` of composed text, pattern by pattern."""
     for pattern, by in (
         (LINE_BREAK, " "),
         (EXOTIC_SPACE, " "),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections import Counter
 from enum import Enum
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from emendata.functions.spread import spread
 from emendata.functions.text import fold
 from emendata.operators.versioning import revision_pairs
 
@@ -251,17 +253,20 @@ DIFF = T.StructType([T.StructField("title", TITLE), T.StructField("paragraphs",
 def side(title: Column, paragraphs: Column, compose: bool = True) -> Column:
     """A side of a diff, folded by Catalyst: the Arrow function that compares needs no rule of folding.
 
-    Folded items of index lines come along, so that those rules need none either. Text is composed first, as hashes
+    Folded items of index lines come along, so that those rules need none either. A paragraph that is its own folded
+    text has null for folded, words and items, which ``filled`` makes of the text. Text is composed first, as hashes
     do; ``compose`` false takes it as composed already.
     """
-    from emendata.functions.text import nfc, nfc_all
+    from emendata.functions.text import nfc, nfc_all, suspect
 
     plain = lambda x: fold(x, compose=False)
     title, paragraphs = (nfc(title), nfc_all(paragraphs)) if compose else (title, paragraphs)
     split = lambda x: F.filter(F.split(F.regexp_replace(F.coalesce(x, F.lit("")), r"^[\s]+|[\s]+$", ""), r"\s+"), lambda w: w != "")
     words = lambda x: F.transform(split(x), plain)
     items = lambda x: F.filter(F.transform(F.split(x, INDEX_JOIN), plain), lambda i: i != "")
-    block = lambda p: F.struct(p.alias("text"), plain(p).alias("folded"), words(p).alias("words"), items(p).alias("items"))
+    made = lambda p: F.struct(p.alias("text"), plain(p).alias("folded"), words(p).alias("words"), items(p).alias("items"))
+    own = lambda p: F.struct(p.alias("text"), F.lit(None).cast("string").alias("folded"), *[F.lit(None).cast("array<string>").alias(x) for x in ("words", "items")])
+    block = lambda p: F.when(suspect(F.coalesce(p, F.lit(""))), made(p)).otherwise(own(p))
     none = F.array().cast("array<string>")
     return F.struct(
         title.alias("title"),
@@ -271,6 +276,38 @@ def side(title: Column, paragraphs: Column, compose: bool = True) -> Column:
     )
 
 
+def filled(one: dict) -> dict:
+    """A side with what its paragraphs leave out."""
+    for p in one["paragraphs"]:
+        if p["folded"] is None:
+            p["folded"] = text = p["text"] or ""
+            p["words"], p["items"] = text.split(), [i for i in re.split(INDEX_JOIN, text) if i]
+    return one
+
+
+def _lists(column) -> list:
+    """Lists of a list array, null where it is null: its values become Python objects all at once."""
+    values = column.flatten()
+    values = _structs(values) if str(values.type).startswith("struct") else values.to_pylist()
+    out, at = [], 0
+    for n in column.value_lengths().to_pylist():
+        out.append(None if n is None else values[at : at + n])
+        at += n or 0
+    return out
+
+
+def _structs(column) -> list:
+    """Dicts of a struct array, null where it is null."""
+    names = [f.name for f in column.type]
+    fields = [_lists(c) if str(c.type).startswith("list") else c.to_pylist() for c in column.flatten()]
+    rows = (dict(zip(names, x, strict=True)) for x in zip(*fields, strict=True))
+    return [x if there else None for x, there in zip(rows, column.is_valid().to_pylist(), strict=True)]
+
+
+#: Pairs that are Python objects at a time: what a worker holds besides its batch.
+PAIRS_AT_ONCE = 64
+
+
 def compared(before: Column, after: Column) -> Column:
     """DIFF of two sides, by one Arrow function per batch of pairs; null if a side is null."""
     import pyarrow as pa
@@ -280,16 +317,19 @@ def compared(before: Column, after: Column) -> Column:
 
     @F.arrow_udf(DIFF)
     def run(olds, news):
-        rows = []
-        for old, new in zip(olds, news, strict=True):
-            old, new = old.as_py(), new.as_py()
-            if old is None or new is None:
-                rows.append(None)
-                continue
-            known = {p["text"]: p["items"] for p in (*old["paragraphs"], *new["paragraphs"])}
-            found = diff(old, new)
-            rows.append(found | {"rewrites": rewrites_existing(found, known.__getitem__)})
-        return pa.array(rows, kind)
+        out = []
+        for at in range(0, len(olds), PAIRS_AT_ONCE):
+            rows = []
+            for old, new in zip(_structs(olds.slice(at, PAIRS_AT_ONCE)), _structs(news.slice(at, PAIRS_AT_ONCE)), strict=True):
+                if old is None or new is None:
+                    rows.append(None)
+                    continue
+                old, new = filled(old), filled(new)
+                known = {p["text"]: p["items"] for p in (*old["paragraphs"], *new["paragraphs"])}
+                found = diff(old, new)
+                rows.append(found | {"rewrites": rewrites_existing(found, known.__getitem__)})
+            out.append(pa.array(rows, kind))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
     return run(before, after)
 
@@ -327,8 +367,11 @@ def revision_diffs(pairs: DataFrame, title: str, paragraphs: str) -> DataFrame:
 
 
 def diffs_of_revisions(revisions: DataFrame, doc: str, title: str, paragraphs: str) -> DataFrame:
-    """The diff of each revision with the one before it: every revision is folded once, and carried to the next."""
-    folded = revisions.withColumn("_side", side(F.col(title), F.col(paragraphs)))
+    """The diff of each revision with the one before it: every revision is folded once, and carried to the next.
+
+    Revisions are dealt out before they are folded: a table of short rows may be read by one task.
+    """
+    folded = spread(revisions, doc, "version_number").withColumn("_side", side(F.col(title), F.col(paragraphs)))
     pairs = revision_pairs(folded, doc, [title, paragraphs, "_side"])
     return pairs.withColumn("diff", compared(F.col("from__side"), F.col("to__side"))).drop("from__side", "to__side")
 

@@ -128,3 +128,36 @@ def test_spelling_by_composition_is_no_change(spark):
     rows = spark.createDataFrame([(1, 1, "t", ["caf\u00e9 one"]), (1, 2, "t", ["cafe\u0301 one"]), (1, 3, "t", ["tea one"])], "doc int, version_number int, title string, paragraphs array<string>")
     found = {r.to_version: r.diff for r in D.diffs_of_revisions(rows, "doc", "title", "paragraphs").collect()}
     assert found[2].paragraphs == [] and len(found[3].paragraphs) == 1
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_revisions_are_dealt_out_before_they_are_folded(spark):
+    rows = spark.createDataFrame([(1, 1, "t", ["a b"]), (1, 2, "t", ["a c"])], "doc int, version_number int, title string, paragraphs array<string>")
+    plan = planned(D.diffs_of_revisions(rows.coalesce(1), "doc", "title", "paragraphs"))
+    assert "REPARTITION_BY_NUM" in plan and plan.index("Window") < plan.index("ArrowEvalPython", plan.index("Window")) < plan.index("REPARTITION_BY_NUM")
+
+
+def test_paragraphs_that_are_their_own_folded_text(spark):
+    texts = ["one two + three", "", None, "a  b", "x = y1", "vor 3 Tagen", "café abcdef", "abcdefab", "+ a + b + + c", "it`s", "1 2 abc-def-ghi-jkl"]
+    df = spark.createDataFrame([("t", texts)], "t string, p array<string>")
+    side = df.select(D.side(F.col("t"), F.col("p")).alias("s")).first().s.asDict(recursive=True)
+    assert [p["folded"] is None for p in side["paragraphs"]] == [True, True, True, False, False, False, True, False, True, False, False]
+    from emendata.functions import text as T
+
+    plain = lambda x: T._folded(F.coalesce(x, F.lit("")))
+    words = F.transform("p", lambda p: F.transform(F.filter(F.split(F.trim(F.coalesce(p, F.lit(""))), r"\s+"), lambda w: w != ""), plain))
+    items = F.transform("p", lambda p: F.filter(F.transform(F.split(F.coalesce(p, F.lit("")), D.INDEX_JOIN), plain), lambda i: i != ""))
+    want = df.select(F.transform("p", plain).alias("f"), words.alias("w"), items.alias("i")).first()
+    got = D.filled(side)["paragraphs"]
+    assert [p["folded"] for p in got] == want.f and [p["words"] for p in got] == want.w and [p["items"] for p in got] == want.i
+
+
+def test_batches_longer_than_a_slice(spark):
+    n = 2 * D.PAIRS_AT_ONCE + 3
+    rows = [(i, v, "t", None if i % 9 == 0 else [f"start {i}"] + ["more"] * (v == 2)) for i in range(n) for v in (1, 2)]
+    df = spark.createDataFrame(rows, "doc int, version_number int, title string, paragraphs array<string>").coalesce(1)
+    found = D.diffs_of_revisions(df, "doc", "title", "paragraphs").collect()
+    assert {r.doc: [c.to_text for c in r["diff"].paragraphs] for r in found} == {i: [] if i % 9 == 0 else ["more"] for i in range(n)}
