@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emendata.functions import dates, http, text, urls
+from emendata.functions.spread import spread
 from emendata.operators import diff, planning, reports, versioning
 from emendata.sources import articles, captures, encoding, feeds, robots
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for work on their markup, which a file of one row group would leave to one task."""
+    return spread(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
 
@@ -421,12 +427,12 @@ def encoding_repairs(spark, sf_dir):
 
 @query("SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS title FROM pages")
 def article_titles(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", articles.article(F.col("html"), F.col("url")).getField("title").alias("title"))
+    return whole_pages(spark, sf_dir).select("page_id", articles.article(F.col("html"), F.col("url")).getField("title").alias("title"))
 
 
 @query()
 def extracted_articles(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", "url", articles.article(F.col("html"), F.col("url")).alias("a"))
+    found = whole_pages(spark, sf_dir).select("page_id", "url", articles.article(F.col("html"), F.col("url")).alias("a"))
     return found.select(
         "page_id",
         urls.document_identity(F.col("url"), F.col("a.canonical")).alias("identity"),
@@ -592,7 +598,7 @@ def declared_identities(spark, sf_dir):
     kind = F.col("page_id") % 3
     link = F.concat(F.lit('<head><link rel="alternate Canonical" href="'), F.when(kind == 1, F.concat(F.lit("/story/"), "page_id", F.lit("?utm_source=x"))).otherwise("/"), F.lit('">'))
     html = F.when(kind == 0, F.col("html")).otherwise(F.replace(F.col("html"), F.lit("<head>"), link))
-    found = table(spark, sf_dir, "pages").select("page_id", "url", articles.article(html, F.col("url")).getField("canonical").alias("declared"))
+    found = whole_pages(spark, sf_dir).select("page_id", "url", articles.article(html, F.col("url")).getField("canonical").alias("declared"))
     return found.select("page_id", urls.document_identity(F.col("url"), F.col("declared")).alias("identity"))
 
 
@@ -607,7 +613,7 @@ _LABELS = ", ".join(f"'{x}'" for x in sorted(articles.LABELS))
 )
 def article_bodies(spark, sf_dir):
     """The prose of each page: not its navigation, advertisement, scripts or footer, nor its headline again or scraps."""
-    found = table(spark, sf_dir, "pages").select("page_id", articles.article(F.col("html"), F.col("url")).getField("paragraphs").alias("p"))
+    found = whole_pages(spark, sf_dir).select("page_id", articles.article(F.col("html"), F.col("url")).getField("paragraphs").alias("p"))
     return found.select("page_id", F.size("p").alias("n_paragraphs"), F.array_join("p", "\n").alias("body"))
 
 

@@ -170,3 +170,19 @@ def test_lenient_feeds():
     deep = "<x>" * 3000 + item + "</x>" * 3000
     assert len(feeds.parse_feed(f"<rss><channel>{deep}</channel></rss>")["entries"]) == 1
     assert feeds.parse_feed("<rss><channel><item><b>torn</item></channel></rss>")["failure"] == "malformed XML: <b> is never closed"
+
+
+def test_many_pages_in_one_batch(spark):
+    n = 2 * articles.PAGES_AT_ONCE + 3
+    rows = [(i, None if i % 9 == 0 else f"<h1>Page {i} &quot</h1><p>This is the only sentence of page {i}.") for i in range(n)]
+    found = spark.createDataFrame(rows, "i int, html string").coalesce(1).select("i", articles.article(F.col("html")).alias("a")).collect()
+    assert {r.i: (r.a.title, r.a.paragraphs) for r in found} == {
+        i: ("", []) if i % 9 == 0 else (f'Page {i} "', [f"This is the only sentence of page {i}."]) for i in range(n)
+    }
+
+
+def test_pages_are_dealt_out_before_they_are_read(spark):
+    from emendata.plans import catalogue
+
+    for name in ("article_titles", "extracted_articles", "declared_identities", "article_bodies"):
+        assert "REPARTITION_BY_NUM" in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
